@@ -7,13 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import bpe
+from fathom.llm import bpe, media
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stores every document as a progressive JPEG file, reads it back and decodes its tensor."""
+    return media.digests(_table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every document with the public byte-level vocabulary."""
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -21,7 +26,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query by name."""
-    return {"op10_bpe": op10_bpe}
+    return {"op7_media": op7_media, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
