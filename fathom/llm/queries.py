@@ -7,13 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import bpe, media
+from fathom.llm import bpe, media, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finds secrets in every document through the trigram index."""
+    return secret_scan.digests(_table(spark, sf_dir, "documents"))
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stores every document as a progressive JPEG file, reads it back and decodes its tensor."""
     return media.digests(_table(spark, sf_dir, "documents"))
@@ -26,9 +31,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query by name."""
-    return {"op7_media": op7_media, "op10_bpe": op10_bpe}
+    return {"op3_secrets": op3_secrets, "op7_media": op7_media, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {}
+    return {"op3_secrets": secret_scan.oracle()}
