@@ -25,6 +25,15 @@ def test_ids_equal_the_library_and_round_trip(peer):
         assert codec.decode(ids) == text.encode()
 
 
+def test_many_random_pieces_equal_the_library(peer):
+    import random
+
+    rng = random.Random(5)
+    codec = bpe.Codec(bpe.load_ranks(PATH), public_tokenizers.PATTERN)
+    texts = [" ".join("".join(rng.choices("etaoinshrdlé", k=rng.randint(1, 90))) for _ in range(60)) for _ in range(50)]
+    assert list(codec.encode_all(texts)) == [peer.encode_ordinary(x) for x in texts]
+
+
 def test_query_on_odd_rows(spark, peer):
     rows = [(i, t, "clash") for i, t in enumerate([*TEXTS, None, TEXTS[4], TEXTS[4]])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
