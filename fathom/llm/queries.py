@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import bpe, langid, media, secret_scan
+from fathom.llm import bpe, langid, media, pii, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(_table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finds personal data in every document."""
+    return pii.digests(_table(spark, sf_dir, "documents"))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicts the language of every document with a field trained on those that are not held out."""
     return langid.results(_table(spark, sf_dir, "documents"))
@@ -36,7 +41,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query by name."""
-    return {"op3_secrets": op3_secrets, "op6_langid": op6_langid, "op7_media": op7_media, "op10_bpe": op10_bpe}
+    return {"op3_secrets": op3_secrets, "op5_pii": op5_pii, "op6_langid": op6_langid, "op7_media": op7_media, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
