@@ -7,13 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import bpe, langid, media, pii, secret_scan
+from fathom.llm import bpe, embed_dedup, langid, media, pii, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links all vectors of a label with a cosine of 0.93 or more."""
+    return embed_dedup.dedup(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finds secrets in every document through the trigram index."""
     return secret_scan.digests(_table(spark, sf_dir, "documents"))
@@ -41,9 +46,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query by name."""
-    return {"op3_secrets": op3_secrets, "op5_pii": op5_pii, "op6_langid": op6_langid, "op7_media": op7_media, "op10_bpe": op10_bpe}
+    return {"op1_embeddings": op1_embeddings, "op3_secrets": op3_secrets, "op5_pii": op5_pii, "op6_langid": op6_langid, "op7_media": op7_media, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op3_secrets": secret_scan.oracle()}
+    return {"op1_embeddings": op1_embeddings, "op3_secrets": secret_scan.oracle()}
