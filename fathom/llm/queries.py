@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import bpe, embed_dedup, langid, media, pii, secret_scan
+from fathom.llm import bpe, embed_dedup, langid, media, packing, pii, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(_table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs every document into sequences of the permitted lengths."""
+    return packing.best_fit(_table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finds personal data in every document."""
     return pii.digests(_table(spark, sf_dir, "documents"))
@@ -46,7 +51,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query by name."""
-    return {"op1_embeddings": op1_embeddings, "op3_secrets": op3_secrets, "op5_pii": op5_pii, "op6_langid": op6_langid, "op7_media": op7_media, "op10_bpe": op10_bpe}
+    return {"op1_embeddings": op1_embeddings, "op3_secrets": op3_secrets, "op4_packing": op4_packing, "op5_pii": op5_pii, "op6_langid": op6_langid, "op7_media": op7_media, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
