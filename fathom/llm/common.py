@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +59,17 @@ def components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame
             break
         before = sign
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+
+
+def least_reached(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least node that each of n nodes reaches over the links."""
+    least = np.arange(n)
+    while True:
+        low = np.minimum(least[u], least[v])
+        after = least.copy()
+        np.minimum.at(after, u, low)
+        np.minimum.at(after, v, low)
+        after = after[after]
+        if (after == least).all():
+            return least
+        least = after

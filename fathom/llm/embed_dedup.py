@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import components, written
+from fathom.llm.common import components, least_reached, written
 
 #: Links have at least this cosine.
 THRESHOLD = 0.93
@@ -129,20 +129,6 @@ def linked(a: np.ndarray, b: np.ndarray, turn: np.ndarray, threshold: float) ->
     return i[keep], j[keep]
 
 
-def _least(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """The least node that each of n nodes reaches over the links."""
-    least = np.arange(n)
-    while True:
-        low = np.minimum(least[u], least[v])
-        after = least.copy()
-        np.minimum.at(after, u, low)
-        np.minimum.at(after, v, low)
-        after = after[after]
-        if (after == least).all():
-            return least
-        least = after
-
-
 def compare(pairs: DataFrame, tiled: DataFrame, turns: dict[int, np.ndarray], threshold: float) -> DataFrame:
     """(vec_id, n, root): links of each linked vector in a tile pair and a vector it reaches there."""
     shared = tiled.sparkSession.sparkContext.broadcast(turns)
@@ -159,7 +145,7 @@ def compare(pairs: DataFrame, tiled: DataFrame, turns: dict[int, np.ndarray], th
                 ids, at = np.unique(np.concatenate([ids_a[i[keep]], ids_b[j[keep]]]), return_inverse=True)
                 if len(ids):
                     u, v = at[: keep.sum()], at[keep.sum() :]
-                    yield pd.DataFrame({"vec_id": ids, "n": np.bincount(at, minlength=len(ids)), "root": ids[_least(len(ids), u, v)]})
+                    yield pd.DataFrame({"vec_id": ids, "n": np.bincount(at, minlength=len(ids)), "root": ids[least_reached(len(ids), u, v)]})
 
     blobs = [tiled.select(F.col("tile").alias(x), F.col("ids").alias(f"ids_{x}"), F.col("vectors").alias(f"vectors_{x}")) for x in "ab"]
     return pairs.join(blobs[0], "a").join(blobs[1], "b").mapInPandas(each, "vec_id long, n long, root long")
