@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import bpe, embed_dedup, langid, media, minhash_dedup, packing, pii, secret_scan
+from fathom.llm import bpe, embed_dedup, langid, line_dedup, media, minhash_dedup, packing, pii, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.dedup(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keeps one of each group of similar lines over all documents."""
+    return line_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finds secrets in every document through the trigram index."""
     return secret_scan.digests(_table(spark, sf_dir, "documents"))
@@ -56,7 +61,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query by name."""
-    return {"op1_embeddings": op1_embeddings, "op3_secrets": op3_secrets, "op4_packing": op4_packing, "op5_pii": op5_pii, "op6_langid": op6_langid, "op7_media": op7_media, "op9_minhash": op9_minhash, "op10_bpe": op10_bpe}
+    return {"op1_embeddings": op1_embeddings, "op2_lines": op2_lines, "op3_secrets": op3_secrets, "op4_packing": op4_packing, "op5_pii": op5_pii, "op6_langid": op6_langid, "op7_media": op7_media, "op9_minhash": op9_minhash, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
