@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import bpe, embed_dedup, langid, line_dedup, media, minhash_dedup, packing, pii, secret_scan
+from fathom.llm import bpe, embed_dedup, langid, license_scan, line_dedup, media, minhash_dedup, packing, pii, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,11 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(_table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names the licence families in every document."""
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links documents by the similarity of their shingle sets."""
     return minhash_dedup.dedup(_table(spark, sf_dir, "documents"))
@@ -61,7 +66,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query by name."""
-    return {"op1_embeddings": op1_embeddings, "op2_lines": op2_lines, "op3_secrets": op3_secrets, "op4_packing": op4_packing, "op5_pii": op5_pii, "op6_langid": op6_langid, "op7_media": op7_media, "op9_minhash": op9_minhash, "op10_bpe": op10_bpe}
+    return {"op1_embeddings": op1_embeddings, "op2_lines": op2_lines, "op3_secrets": op3_secrets, "op4_packing": op4_packing, "op5_pii": op5_pii, "op6_langid": op6_langid, "op7_media": op7_media, "op8_licenses": op8_licenses, "op9_minhash": op9_minhash, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
