@@ -1,19 +1,18 @@
-"""Registry of the engine's queries and their equivalent SQL."""
+"""The engine's queries and their equivalent SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from fathom.plans import ingest, retrieval, serving, texts  # noqa: F401  registers their queries
+from fathom.plans.registry import QUERIES, SQL, Query
 
 FLAGSHIP = "retrieve_topk"
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries() -> dict[str, Query]:
     """All queries by name."""
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return {}
+    return dict(SQL)
