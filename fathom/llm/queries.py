@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op1_embeddings": op1_embeddings, "op3_secrets": secret_scan.oracle()}
+    return {"op1_embeddings": embed_dedup.oracle(), "op3_secrets": secret_scan.oracle()}
