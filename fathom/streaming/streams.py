@@ -23,14 +23,16 @@ def run_once(spark: SparkSession, sf_dir: str, table: str, plan: Callable[[DataF
     """
     base = f"{_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    result = plan(spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.parquet*"))
+
+    spark.createDataFrame([], result.schema).write.parquet(f"{base}/out/batch=none")
 
     def sink(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={0 if mode == 'complete' else number}")
 
-    running = plan(source).writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(sink).start()
+    running = result.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(sink).start()
     running.awaitTermination()
-    return spark.read.parquet(f"{base}/out").drop("batch")
+    return spark.read.schema(result.schema).option("recursiveFileLookup", "true").parquet(f"{base}/out")
 
 
 def timed(events: DataFrame) -> DataFrame:
