@@ -314,7 +314,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame(list(tagger.languages([x or "" for x in batch])), columns=["lang_pred", "score"])
 
-    out = docs.withColumn("_tag", tagged("text"))
+    # Marked so that a filter on its fields does not make Spark evaluate it once for each field.
+    out = docs.withColumn("_tag", tagged.asNondeterministic()("text"))
     return out.withColumns({"lang_pred": F.col("_tag.lang_pred"), "score": F.col("_tag.score")}).drop("_tag")
 
 
