@@ -38,7 +38,7 @@ K, MARGIN = 96, 4.0
 #: Sets up to this size have a partner whose sketch is whole too.
 MOST_EXACT = K * PERCENT // 100
 #: Members of a list that gives pairs; members of a tile on average, and shared values multiplied at once.
-SHORT, TILE, COLUMNS = 48, 128, 8192
+SHORT, TILE, COLUMNS = 48, 192, 8192
 #: Bits of the filter of documents whose sets are needed, of a fixed size.
 FILTER_BITS = 1 << 23
 #: Words remembered in a Python worker.
@@ -152,6 +152,22 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
+def _similar(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the sets of a and b that are similar enough."""
+    both = overlaps(a, b)
+    sizes = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])
+    return np.nonzero(100 * both >= percent * (sizes - both))
+
+
+def _connected(sets: list[np.ndarray], ids: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each set the least id that it reaches within its tile, and its own id."""
+    order = np.argsort(ids, kind="stable")
+    i, j = _similar([sets[k] for k in order], [sets[k] for k in order], percent)
+    roots = np.empty(len(ids), np.int64)
+    roots[order] = ids[order][least_reached(len(ids), i, j)]
+    return roots, np.asarray(ids)
+
+
 def compare_tiles(lists: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(rep, root) of the linked members of long lists; lists has value, rep and the list's size m."""
     placed = lists.withColumn("tiles", F.ceil(F.col("m") / TILE).cast("int"))
@@ -165,14 +181,16 @@ def compare_tiles(lists: DataFrame, sets: DataFrame, percent: int = PERCENT) ->
         for batch in batches:
             for row in batch.itertuples(index=False):
                 a, b = list(row.members_i), list(row.members_j)
-                both = overlaps(a, b)
-                sizes = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])
-                i, j = np.nonzero(100 * both >= percent * (sizes - both))
-                ids, at = np.unique(np.concatenate([row.rep_i[i], row.rep_j[j]]), return_inverse=True)
-                if len(ids):
-                    root = ids[least_reached(len(ids), at[: len(i)], at[len(i) :])]
-                    on = root != ids
-                    yield pd.DataFrame({"rep": ids[on], "root": root[on]})
+                u, v = _connected(a, row.rep_i, percent)
+                if row.i != row.j:
+                    # What a tile links by itself comes from its pair with itself; here only what joins two of those parts.
+                    roots = u, _connected(b, row.rep_j, percent)[0]
+                    i, j = _similar(a, b, percent)
+                    ids, at = np.unique(np.concatenate([roots[0][i], roots[1][j]]), return_inverse=True)
+                    v, u = ids, ids[least_reached(len(ids), at[: len(i)], at[len(i) :])] if len(ids) else ids
+                on = u != v
+                if on.any():
+                    yield pd.DataFrame({"rep": v[on], "root": u[on]})
 
     return pairs.join(blobs[0], ["value", "i"]).join(blobs[1], ["value", "j"]).mapInPandas(each, "rep long, root long")
 
@@ -223,7 +241,7 @@ def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     first = profile.select("doc_id", "key", "n", "sketch").join(classes.select(F.col("rep").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi")
     reps, _ = written(first.dropDuplicates(["doc_id", "key"]).select(F.col("doc_id").alias("rep"), "n", "sketch"))
     reached = components(links(docs, reps, percent)).toDF("rep", "component")
-    of_class = classes.join(reached, "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
+    of_class, _ = written(classes.join(reached, "rep", "left").select("key", F.coalesce("component", "rep").alias("component")))
     out = profile.select("doc_id", "n", "key").join(of_class, "key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
