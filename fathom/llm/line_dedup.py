@@ -1,8 +1,7 @@
 """Fuzzy line dedup by MinHash, in DataFrame expressions throughout.
 
-A line is lower-cased and trimmed; its shingles are runs of SHINGLE characters that begin at every word and at
-every STRIDE-th character within a word, so that each character lies in one and an insertion only disturbs its
-surroundings. The signature has SLOTS values: the least hash under SLOTS permutations (the hash XOR the slot's
+A line is lower-cased and trimmed; its shingles are the runs of SHINGLE characters at every position, a shorter
+line being one shingle. The signature has SLOTS values: the least hash under SLOTS permutations (the hash XOR the slot's
 prefix). Slots are read as a square, and the bands are its rows and its columns: two lines of similarity 0.8
 share a band with probability 0.985, of 0.9 with 0.9998. Lines of a bucket are compared with its most frequent
 line, and those that are then not in one component with each other; a pair counts only if the exact Jaccard
@@ -20,8 +19,8 @@ from pyspark.sql import functions as F
 
 from fathom.llm.common import components, written
 
-#: Characters of a shingle, and the distance of their starts within a word.
-SHINGLE, STRIDE = 10, 4
+#: Characters of a shingle.
+SHINGLE = 10
 #: Least Jaccard similarity, in hundredths.
 PERCENT = 80
 #: Signature values; SIDE slots make a band.
@@ -32,14 +31,21 @@ LAST = (1 << 63) - 1
 FILTER_WORDS = 1 << 19
 
 
-def _hashes(norm: str) -> Column:
-    found = F.regexp_extract_all(F.col(norm), F.lit(rf"(?s)(?=(.{{{SHINGLE}}}|.{{1,{SHINGLE - 1}}}))\S{{1,{STRIDE}}}+\s*+"), F.lit(1))
-    return F.transform(found, lambda x: F.xxhash64(x))
+def _once(value: Column, f) -> Column:
+    """f(value) with the value worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _hashes(norm: Column) -> Column:
+    """Hashes of a text's runs of SHINGLE characters, one for each position; a shorter text is one run."""
+    # Four bytes a character, so that a position is found without a walk through the text.
+    each = lambda t: F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.length(t) / 4).cast("int") - SHINGLE, F.lit(0))), lambda i: F.xxhash64(F.substring(t, i * 4 + 1, F.lit(4 * SHINGLE))))
+    return _once(F.encode(norm, "UTF-32"), each)
 
 
 def shingles(norm: str) -> Column:
     """Distinct hashes of a line's shingles."""
-    return F.array_distinct(_hashes(norm))
+    return F.array_distinct(_hashes(F.col(norm)))
 
 
 def _least_of_prefix(ordered: str) -> Column:
@@ -65,7 +71,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     """(d, t, pos, key, bands) of every line that is not blank; d and t name a document and its text."""
     each = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     normal = each.select("d", "t", "pos", _normal("line").alias("norm")).where("norm <> ''")
-    hashed = normal.select("d", "t", "pos", F.xxhash64("norm").alias("key"), F.sort_array(_hashes("norm")).alias("h"))
+    hashed = normal.select("d", "t", "pos", F.xxhash64("norm").alias("key"), F.sort_array(_hashes(F.col("norm"))).alias("h"))
     signed = hashed.select("d", "t", "pos", "key", _least_of_prefix("h").alias("h"))
     signed = signed.select("d", "t", "pos", "key", F.array(*(_slot(F.col("h"), s) for s in range(SLOTS))).alias("s"))
     return signed.select("d", "t", "pos", "key", bands("s").alias("bands"))
@@ -91,34 +97,36 @@ def _may_hold(rows: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
     return rows.withColumn("word", word(key)).join(F.broadcast(bits), "word").where(F.col("bits").bitwiseAND(bit(key)) != 0).drop("word", "bits")
 
 
-def line_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, h): the shingle hashes of these lines."""
+def line_norms(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, norm): the normal forms of these lines."""
     each = docs.where("text is not null").select(F.explode(F.split("text", "\n", -1)).alias("line")).select(_normal("line").alias("norm")).where("norm <> ''")
     some = _may_hold(each.select(F.xxhash64("norm").alias("key"), "norm"), keys).join(keys, "key")
-    return some.groupBy("key").agg(F.min("norm").alias("norm")).select("key", shingles("norm").alias("h"))
+    return some.groupBy("key").agg(F.min("norm").alias("norm"))
 
 
-def _similar(a: str, b: str) -> Column:
+def _similar(a: Column, b: Column) -> Column:
     """Whether two sets are similar enough; sizes come first."""
     n, m = F.size(a), F.size(b)
     both = F.size(F.array_intersect(a, b))
     return (n * 100 >= m * PERCENT) & (m * 100 >= n * PERCENT) & (both * 100 >= (n + m - both) * PERCENT)
 
 
-def links(members: DataFrame, sets: DataFrame) -> DataFrame:
+def links(members: DataFrame, norms: DataFrame) -> DataFrame:
     """(u, v): confirmed links, enough of them to connect all lines that any bucket links."""
     chosen = members.groupBy("band").agg(F.max_by("key", F.struct("n", "key")).alias("u"))
     pairs = members.select("band", F.col("key").alias("v")).join(chosen, "band").where("u <> v").select("u", "v").distinct()
+    # Texts go to the pairs, not their sets: a set takes eight bytes for each character.
     for x in "uv":
-        pairs = pairs.join(sets.toDF(x, f"h_{x}"), x)
-    star, _ = written(pairs.where(_similar("h_u", "h_v")).select("u", "v"))
+        pairs = pairs.join(norms.toDF(x, f"norm_{x}"), x)
+    both = F.struct(shingles("norm_u").alias("u"), shingles("norm_v").alias("v"))
+    star, _ = written(pairs.where(_once(both, lambda s: _similar(s["u"], s["v"]))).select("u", "v"))
     # What is left: buckets with lines of several components. Their most frequent line has been compared with all.
     rest = members.join(chosen, "band").where("key <> u").select("band", "key").join(components(star).toDF("key", "c"), "key", "left").withColumn("c", F.coalesce("c", "key"))
     mixed = rest.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("band")
-    rest, _ = written(rest.join(mixed, "band").join(sets, "key"))
+    rest, _ = written(rest.join(mixed, "band").join(norms, "key").select("band", "key", "c", shingles("norm").alias("h")))
     a, b = (rest.select("band", F.col("key").alias(x), F.col("c").alias(f"c_{x}"), F.col("h").alias(f"h_{x}")) for x in "uv")
     # The exact test is part of the join, so pairs that are not links never become rows.
-    across = a.join(b, (a["band"] == b["band"]) & (F.col("u") < F.col("v")) & (F.col("c_u") != F.col("c_v")) & _similar("h_u", "h_v")).select("u", "v")
+    across = a.join(b, (a["band"] == b["band"]) & (F.col("u") < F.col("v")) & (F.col("c_u") != F.col("c_v")) & _similar(F.col("h_u"), F.col("h_v"))).select("u", "v")
     return star.union(across)
 
 
@@ -126,8 +134,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """(d, t, gone): the positions of each document's lines that an earlier line of their component stands for."""
     lines, _ = written(lines_of(docs))
     members, _ = written(buckets(lines))
-    sets, _ = written(line_sets(docs, members.select("key").distinct()))
-    reached = components(links(members, sets)).toDF("key", "c")
+    norms, _ = written(line_norms(docs, members.select("key").distinct()))
+    reached = components(links(members, norms)).toDF("key", "c")
     first = lines.groupBy("key").agg(F.min(F.struct("d", "t", "pos")).alias("first"), F.count("*").alias("n"))
     named = first.join(reached, "key", "left").withColumn("c", F.coalesce("c", "key"))
     best = named.groupBy("c").agg(F.min("first").alias("best"), F.sum("n").alias("n")).where("n > 1")

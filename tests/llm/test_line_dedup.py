@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from fathom.llm import line_dedup as ld
 from tests.llm.test_common import plain
 
@@ -68,3 +70,29 @@ def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, "a\nb"), (2, "a")], "doc_id long, text string").cache()
     plan = ld.digests(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def full_set(norm):
+    return {norm[i : i + 10] for i in range(max(1, len(norm) - 9))}
+
+
+def test_full_shingle_sets_of_lines_without_spaces(spark):
+    rng = random.Random(5)
+    base = ["".join(rng.choices(kind, k=400)) for kind in ("0123456789abcdef", "天地玄黃宇宙洪荒日月盈昃辰宿列張", "abcdefghij/.-_?=𝒜𝒷")]
+    near = [f"{x[:at]}z{x[at:]}" for x in base for at in (0, 40)]
+    assert all(len(full_set(x) & full_set(y)) / len(full_set(x) | full_set(y)) > 0.9 for x, y in zip([b for b in base for _ in "ab"], near, strict=True))
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate([*base, *near, "short", "a" * 9, "", "a" * 10 + "b"])], "doc_id long, text string")
+    assert all(r.n == len(full_set(r.text)) for r in rows.select("text", F.size(ld.shingles("text")).alias("n")).collect())
+    kept = {r.doc_id: r.text for r in ld.dedup(rows).collect()}
+    assert [kept[i] for i in range(3)] == base and all(kept[i] == "" for i in range(3, 9)) and kept[9] == "short"
+
+
+def test_equals_brute_force_of_full_shingle_sets(spark, monkeypatch):
+    monkeypatch.setitem(globals(), "plain_set", full_set)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices(["the", "er", "on", "an", "re", "é"], k=rng.randint(1, 4)))
+    base = [" ".join(word() for _ in range(rng.choice([3, 20, 60]))) for _ in range(30)]
+    docs = [(i, "\n".join(near(rng, rng.choice(base), rng.choice([0, 0, 1, 2])) for _ in range(rng.randint(0, 6)))) for i in range(90)]
+    want, rows = brute(docs), ld.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    wrong = [r.doc_id for r in rows if r.text != want[r.doc_id]]
+    assert len(wrong) <= 2, wrong  # bands may miss a pair near the threshold
