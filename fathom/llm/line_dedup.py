@@ -1,9 +1,10 @@
 """Fuzzy line dedup by MinHash, in DataFrame expressions throughout.
 
 A line is lower-cased and trimmed; its shingles are the runs of SHINGLE characters at every position, a shorter
-line being one shingle. The signature has SLOTS values: the least hash under SLOTS permutations (the hash XOR the slot's
-prefix). Slots are read as a square, and the bands are its rows and its columns: two lines of similarity 0.8
-share a band with probability 0.985, of 0.9 with 0.9998. Lines of a bucket are compared with its most frequent
+line being one shingle. The signature has 64 slots, 32 of each of two orders of the hashes: a slot is the least
+hash of its own part of the order or, if none falls there, the first from another fixed place on, so that each slot
+of two lines is equal with the probability of their similarity. Sixteen bands of four slots share no slot: of lines
+of similarity 0.8 with independent slots 0.9998 share a band. Lines of a bucket are compared with its most frequent
 line, and those that are then not in one component with each other; a pair counts only if the exact Jaccard
 similarity of the full shingle sets is at least PERCENT. Components keep their first line, by doc_id, then position.
 
@@ -23,9 +24,10 @@ from fathom.llm.common import components, written
 SHINGLE = 10
 #: Least Jaccard similarity, in hundredths.
 PERCENT = 80
-#: Signature values; SIDE slots make a band.
-SIDE = 4
-SLOTS = SIDE * SIDE
+#: Orders of the hashes, bins and so slots of each, and slots of a band; every slot is in one band.
+ORDERS, BINS, BAND = 2, 32, 4
+#: Where the search begins for a slot whose own bin is empty: a shuffle of all slots.
+PLACES = (11, 26, 4, 19, 30, 8, 22, 1, 15, 28, 6, 17, 24, 13, 2, 31, 9, 20, 0, 27, 12, 5, 16, 29, 7, 23, 14, 3, 25, 18, 10, 21)
 LAST = (1 << 63) - 1
 #: Words of the filters that keep what has no partner out of a shuffle.
 FILTER_WORDS = 1 << 19
@@ -48,33 +50,47 @@ def shingles(norm: str) -> Column:
     return F.array_distinct(_hashes(F.col(norm)))
 
 
-def _least_of_prefix(ordered: str) -> Column:
-    """The least of the hashes of each 4-bit prefix, from sorted hashes; only these can be least in a slot."""
-    return F.filter(ordered, lambda x, i: (i == 0) | (F.shiftright(x, 60) != F.shiftright(F.get(F.col(ordered), i - 1), 60)))
+def _bin(hash_: Column) -> Column:
+    """The number of the hash's bin, of BINS equal parts of all hashes in order."""
+    return F.shiftright(hash_, 64 - BINS.bit_length() + 1).cast("int") + BINS // 2
 
 
-def _slot(hashes: Column, slot: int) -> Column:
-    mask = slot << 60
-    mask = mask - (1 << 64) if mask > LAST else mask
-    return F.array_min(F.transform(hashes, lambda x: x.bitwiseXOR(F.lit(mask))))
+def _least_of_bin(ordered: str) -> Column:
+    """The least of the hashes of each bin, from sorted hashes."""
+    return F.filter(ordered, lambda x, i: (i == 0) | (_bin(x) != _bin(F.get(F.col(ordered), i - 1))))
 
 
-def bands(signature: str) -> Column:
-    """Hashes of the rows and the columns of the signature's square."""
-    at = lambda i: F.element_at(signature, i + 1)
-    rows = [F.xxhash64(F.lit(b), *(at(b * SIDE + j) for j in range(SIDE))) for b in range(SIDE)]
-    columns = [F.xxhash64(F.lit(SIDE + b), *(at(j * SIDE + b) for j in range(SIDE))) for b in range(SIDE)]
-    return F.array(*rows, *columns)
+def _filled(least: str) -> Column:
+    """The least hash of each bin, or of the next bin that has one, in a circle."""
+    at = lambda i: _bin(F.get(F.col(least), i))
+    each = F.transform(least, lambda x, i: F.array_repeat(x, (_bin(x) - F.when(i == 0, -1).otherwise(at(i - 1))).cast("int")))
+    rest = F.array_repeat(F.get(F.col(least), F.lit(0)), F.lit(BINS - 1) - at(F.size(least) - 1))
+    return F.concat(F.flatten(each), rest)
+
+
+def _slots(filled: str) -> Column:
+    """The value of each slot: its own bin's, or if that is empty the value found from another place on."""
+    places = F.array(*map(F.lit, PLACES))
+    return F.transform(filled, lambda x, s: F.when(_bin(x) == s, x).otherwise(F.get(F.col(filled), F.get(places, s))))
+
+
+def signed(rows: DataFrame, hashes: str) -> DataFrame:
+    """The rows with the column bands, hashes of BAND slots each, in place of their shingles' hashes."""
+    rest = [c for c in rows.columns if c != hashes]
+    orders = [f"{hashes}_{i}" for i in range(ORDERS)]
+    now = rows.select(*rest, *(F.sort_array(F.transform(hashes, lambda x, i=i: F.xxhash64(x, F.lit(i))) if i else F.col(hashes)).alias(o) for i, o in enumerate(orders)))
+    for step in (_least_of_bin, _filled, _slots):
+        now = now.select(*rest, *(step(o).alias(o) for o in orders))
+    width = BINS // BAND
+    bands = [F.xxhash64(F.lit(i * width + b), *(F.element_at(o, b + j * width + 1) for j in range(BAND))) for i, o in enumerate(orders) for b in range(width)]
+    return now.select(*rest, F.array(*bands).alias("bands"))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(d, t, pos, key, bands) of every line that is not blank; d and t name a document and its text."""
     each = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     normal = each.select("d", "t", "pos", _normal("line").alias("norm")).where("norm <> ''")
-    hashed = normal.select("d", "t", "pos", F.xxhash64("norm").alias("key"), F.sort_array(_hashes(F.col("norm"))).alias("h"))
-    signed = hashed.select("d", "t", "pos", "key", _least_of_prefix("h").alias("h"))
-    signed = signed.select("d", "t", "pos", "key", F.array(*(_slot(F.col("h"), s) for s in range(SLOTS))).alias("s"))
-    return signed.select("d", "t", "pos", "key", bands("s").alias("bands"))
+    return signed(normal.select("d", "t", "pos", F.xxhash64("norm").alias("key"), _hashes(F.col("norm")).alias("h")), "h")
 
 
 def _normal(line: str) -> Column:

@@ -96,3 +96,18 @@ def test_equals_brute_force_of_full_shingle_sets(spark, monkeypatch):
     want, rows = brute(docs), ld.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     wrong = [r.doc_id for r in rows if r.text != want[r.doc_id]]
     assert len(wrong) <= 2, wrong  # bands may miss a pair near the threshold
+
+
+def test_band_recall_by_length(spark):
+    rng = random.Random(6)
+    rows = []
+    for n in (10, 20, 30, 50, 100, 300):
+        for i in range(1000):
+            common, mine, yours = ([rng.getrandbits(64) - (1 << 63) for _ in range(k)] for k in (8 * n // 10, n // 10, n // 10))
+            rows.append((n, i, common + mine, common + yours))
+    pairs = spark.createDataFrame(rows, "n int, i int, a array<long>, b array<long>").repartition(4)
+    a, b = (ld.signed(pairs.select("n", "i", x), x).withColumnRenamed("bands", x) for x in "ab")
+    found = a.join(b, ["n", "i"]).groupBy("n").agg(F.avg(F.arrays_overlap("a", "b").cast("int")).alias("hit"))
+    hits = {r.n: r.hit for r in found.collect()}
+    print(hits)
+    assert len(hits) == 6 and min(hits.values()) >= 0.99
