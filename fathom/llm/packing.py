@@ -1,7 +1,7 @@
 """Best-fit packing into sequences of several permitted lengths.
 
-Documents go to shards by a hash of their id; the number of shards follows the number of documents, so a shard
-stays at about SHARD_DOCS of them at any size. A shard's pieces, longest first, each go to the open bin that
+Documents go to shards by a hash of their row's number in a written table, so that equal rows spread too; the number
+of shards follows the number of documents, so a shard stays at about SHARD_DOCS of them at any size. A shard's pieces, longest first, each go to the open bin that
 they leave the least room in. If none has room, a bin of the size of least cost opens: of the sizes that hold
 the piece, the one with the least cost for each token that it can be filled with by the pieces still to come.
 At the end each bin shrinks to the smallest permitted length that holds its contents.
@@ -76,7 +76,7 @@ def best_fit(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, cost: int = SE
     """
     longest = max(lengths)
     words = F.when(F.trim(F.regexp_replace("text", r"\s", " ")) == "", 0).otherwise(F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))))
-    counted, _ = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(words, F.lit(0)).cast("long").alias("n_tokens"), F.xxhash64("doc_id", "text").alias("spread")))
+    counted, _ = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(words, F.lit(0)).cast("long").alias("n_tokens"), F.xxhash64(F.monotonically_increasing_id()).alias("spread")))
     shards = max(1, -(-counted.count() // SHARD_DOCS))
     cut = F.when(F.col("n_tokens") > 0, F.sequence(F.lit(0).cast("long"), F.col("n_tokens") - 1, F.lit(longest).cast("long")))
     pieces = counted.where("n_tokens > 0").select("doc_id", F.explode(cut).alias("start"), "n_tokens", F.pmod("spread", F.lit(shards)).alias("shard"))

@@ -57,3 +57,10 @@ def test_waste_on_a_table(spark):
     used = out.groupBy().sum("n_tokens").first()[0]
     paid = out.where("bin is not null").select("shard", "bin", "capacity").distinct().groupBy().sum("capacity").first()[0]
     assert used / paid > 0.97
+
+
+def test_equal_rows_spread_over_shards(spark):
+    rows = spark.range(40_000).selectExpr("if(id % 2 = 0, 7L, id) as doc_id", "if(id % 2 = 0, 'a b', concat('c ', id)) as text")
+    shards = packing.best_fit(rows).groupBy("shard").count().collect()
+    assert sum(r["count"] for r in shards) == 40_000
+    assert len(shards) == 10 and max(r["count"] for r in shards) < 1.2 * packing.SHARD_DOCS
