@@ -24,44 +24,80 @@ from pyspark.sql import functions as F
 
 #: The wording of common licence notices, by family; fixed values.
 TEMPLATES = {
+    "agpl": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Affero General Public License along with this program.", "Licensed under the GNU Affero General Public License, version 3.", "This project is released under the GNU AGPL version 3.",
+    ),
     "apache": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http www apache org licenses LICENSE 2.0",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file distributed with this work for additional information regarding copyright ownership. The ASF licenses this file to You under the Apache License, Version 2.0",
+        "See the License for the specific language governing permissions and limitations under the License.", "This project is released under the Apache 2.0 license.", "SPDX-License-Identifier: Apache-2.0",
+    ),
+    "artistic": ("This library is free software; you can redistribute it and/or modify it under the terms of the Artistic License 2.0.", "This program is distributed under the Artistic License, version 2.0.", "This package may be modified and redistributed under the same terms as Perl itself."),
+    "boost": (
+        "Distributed under the Boost Software License, Version 1.0. See accompanying file LICENSE_1_0.txt or copy at http www boost org LICENSE 1 0 txt",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software",
     ),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-        "Released under the BSD License.", "Licensed under the 3-Clause BSD License.",
+        "Released under the BSD License.", "Licensed under the 3-Clause BSD License.", "SPDX-License-Identifier: BSD-3-Clause",
     ),
     "cc": (
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.", "This work is licensed under the Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
         "This text is available under the Creative Commons Attribution-ShareAlike License.", "Licensed under CC BY 4.0.", "Licensed under CC BY-NC 4.0.", "Licensed under CC BY-SA 4.0.",
+        "To view a copy of this license, visit http creativecommons org licenses by 4.0 or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA.",
+    ),
+    "cc0": (
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "This work is dedicated to the public domain under the Creative Commons CC0 1.0 Universal Public Domain Dedication.", "Released under CC0 1.0 Universal.",
+    ),
+    "epl": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0 which accompanies this distribution, and is available at https www eclipse org legal epl v20 html", "Licensed under the Eclipse Public License, version 2.0.",
     ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "You should have received a copy of the GNU General Public License along with this program.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "This file may be distributed under the terms of the GNU General Public License version 2.", "SPDX-License-Identifier: GPL-2.0-only",
+    ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.", "Licensed under the ISC License.",
     ),
     "lgpl": (
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
-        "This library is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is licensed under the GNU Lesser General Public License, version 3.", "You should have received a copy of the GNU Lesser General Public License along with this library.",
     ),
     "mit": (
         "Released under the MIT License.", "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.", "SPDX-License-Identifier: MIT",
     ),
     "mpl": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-        "If a copy of the MPL was not distributed with this file, You can obtain one at http mozilla org MPL 2.0", "Licensed under the Mozilla Public License, version 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http mozilla org MPL 2.0", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0",
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain.", "Released into the public domain under the Unlicense.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    "zlib": (
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions", "Licensed under the zlib License.",
     ),
-    "unlicense": ("This is free and unencumbered software released into the public domain.", "Released into the public domain under the Unlicense."),
 }
 #: Licence language of no known family, and other uses of its words, for training.
 OTHER = ("Licensed under the Example Community License, version 1.", "All rights reserved. Use is subject to the terms of the license agreement.", "This software is proprietary and its license does not permit redistribution.", "Distributed under the terms of a custom license.", "Released under the Sample Source License.", "You may not copy this work without a license from its owner.")
-NONE = ("He lost his driving license and paid the fee for a new version.", "Permission to enter was granted free of charge to any person in town.", "The public library is open under the terms of the city.", "The work of the general is in the public domain of interest.", "A copy of the file was obtained from the source.", "Apache helicopters, a BSD conference and an MIT professor were in the news.", "The software was released in May and version 3 followed.", "Mozilla and the foundation published a common report.", "Conditions are met with or without modification of the plan.")
+NONE = ("He lost his driving license and paid the fee for a new version.", "Permission to enter was granted free of charge to any person in town.", "The public library is open under the terms of the city.", "The work of the general is in the public domain of interest.", "A copy of the file was obtained from the source.", "Apache helicopters, a BSD conference and an MIT professor were in the news.", "The software was released in May and version 3 followed.", "The eclipse was seen by the public in the open, version by version.", "He boosted the engine with permission of the owner.", "In no event will the visitors be late, said the author.", "Mozilla and the foundation published a common report.", "Conditions are met with or without modification of the plan.")
 UNKNOWN, NEITHER = "unknown", "none"
 #: Training examples of a class, steps of the fit, and the bound of the weights' table.
 EXAMPLES, STEPS, MOST_FEATURES = 160, 150, 6000
