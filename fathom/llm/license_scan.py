@@ -5,21 +5,26 @@ licence families, the class `unknown` (licence language of no known family) and
 calibrated by a temperature on examples kept from training. A predicted family is confirmed by comparison with
 the family's templates: the share of the shorter side's word triples that both have must reach CONFIRM; what is
 not confirmed counts as unknown. The model is fitted here, on the driver, to examples made from the templates
-(words dropped, cut and added, EXAMPLES of each class, from a fixed seed); weights and templates are tables of
-bounded size that are broadcast.
+(words dropped, cut and added, EXAMPLES of each class, from a fixed seed).
+
+Each document is scanned within its row, so nothing is shuffled: weights are a hash table in a literal of bounded
+size (at most MOST_FEATURES entries), where a feature's bucket is found by its hash.
 
 Null texts have no paragraphs. Repeated rows have equal results; a null doc_id is a key like any other.
 """
 
 from __future__ import annotations
 
+import json
 import random
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The wording of common licence notices, by family; fixed values.
@@ -186,57 +191,78 @@ def train(examples: int = EXAMPLES, steps: int = STEPS) -> Model:
     return Model(classes, [round(float(z), 6) for z in w[-1]], rows, temperature)
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(d, t, row, pos, words) of each paragraph; d and t name a document and its text, row one of its copies."""
-    each = docs.where("text is not null").select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.monotonically_increasing_id().alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return each.select("d", "t", "row", "pos", F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)).alias("words")).where(F.size("words") > 0)
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _joined(words: Column, n: int) -> Column:
+def _runs(words: Column, n: int) -> Column:
     """Runs of n words."""
-    runs = words
+    size = F.greatest(F.size(words) - n + 1, F.lit(0))
+    runs = F.slice(words, F.lit(1), size)
     for k in range(2, n + 1):
-        later = F.slice(words, F.lit(k), F.greatest(F.size(words) - k + 1, F.lit(0)))
-        runs = F.zip_with(F.slice(runs, F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(0))), later, lambda a, b: F.concat_ws(" ", a, b))
+        runs = F.zip_with(runs, F.slice(words, F.lit(k), size), lambda a, b: F.concat_ws(" ", a, b))
     return runs
 
 
-def classified(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
-    """(d, t, pos, words, label, p) of the paragraphs of a licence family or the unknown class."""
+def _literal(value, kind: str) -> Column:
+    """A nested constant; Spark reads it once, when it plans."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _weights(model: Model) -> tuple[Column, int]:
+    """The model's weights as buckets of (f, w), and the number of buckets."""
+    count = 1 << max(4, (2 * len(model.weights)).bit_length())
+    buckets: list[list[dict]] = [[] for _ in range(count)]
+    for f in sorted(model.weights):
+        buckets[xxhash.xxh64_intdigest(f.encode(), seed=42) % count].append({"f": f, "w": model.weights[f]})  # as Spark's xxhash64
+    return _literal(buckets, "array<array<struct<f:string,w:array<double>>>>"), count
+
+
+def _classified(model: Model) -> Callable[[Column], Column]:
+    """A function from a paragraph's words to its class, null for `none` and for what is not sure."""
+    weights, count = _weights(model)
     names = sorted(model.weights)
     known = lambda x: x.isin(names)  # noqa: E731  a hash set of the features
-    each = paragraphs(docs)
-    found = F.array_distinct(F.concat(F.filter("words", known), F.filter(_joined(F.col("words"), 2), known)))
-    table = spark.createDataFrame([(f, *model.weights[f]) for f in names], "f string, " + ", ".join(f"w{i} double" for i in range(len(model.classes))))
-    scored = each.withColumn("f", F.explode(found)).join(F.broadcast(table), "f").groupBy("d", "t", "row", "pos").agg(F.first("words").alias("words"), *(F.sum(f"w{i}").alias(f"s{i}") for i in range(len(model.classes))))
-    scores = [(F.col(f"s{i}") + b) / model.temperature for i, b in enumerate(model.bias)]
-    top = F.greatest(*scores)
-    total = sum((F.exp(s - top) for s in scores[1:]), F.exp(scores[0] - top))
-    best = F.coalesce(*(F.when(s == top, F.lit(c)) for s, c in zip(scores, model.classes, strict=True)))
-    labelled = scored.select("d", "t", "pos", "words", best.alias("label"), (1 / total).alias("p"))
-    return labelled.where((F.col("label") != NEITHER) & (F.col("p") >= SURE)).dropDuplicates(["d", "t", "pos"])
-
-
-def confirmed(spark: SparkSession, labelled: DataFrame) -> DataFrame:
-    """(d, t, pos, label): families that a template confirms, all else unknown."""
-    triples = [(k, i, " ".join(w[j : j + 3]), max(1, len(w) - 2)) for k, texts in TEMPLATES.items() for i, x in enumerate(texts) for w in [words_of(x)] for j in range(max(1, len(w) - 2))]
-    table = spark.createDataFrame(sorted(set(triples)), "label string, template int, triple string, size int")
-    mine = F.array_distinct(F.when(F.size("words") < 3, F.array(F.concat_ws(" ", "words"))).otherwise(_joined(F.col("words"), 3)))
-    each = labelled.withColumn("mine", mine).select("d", "t", "pos", "label", F.size("mine").alias("n"), F.explode("mine").alias("triple"))
-    common = each.join(F.broadcast(table), ["label", "triple"]).groupBy("d", "t", "pos", "label", "n", "template", "size").agg(F.count("*").alias("both"))
-    sure = common.where(F.col("both") >= CONFIRM * F.least("n", "size")).select("d", "t", "pos").distinct().toDF("sd", "st", "spos").withColumn("sure", F.lit(True))
-    same = F.col("d").eqNullSafe(F.col("sd")) & (F.col("t") == F.col("st")) & (F.col("pos") == F.col("spos"))
-    return labelled.join(sure, same, "left").select("d", "t", "pos", F.when(F.col("sure"), F.col("label")).otherwise(UNKNOWN).alias("label"))
+    row = lambda f: F.get(F.filter(F.get(weights, F.pmod(F.xxhash64(f), F.lit(count)).cast("int")), lambda b: b["f"] == f), F.lit(0))["w"]
+    bias = F.array(*map(F.lit, model.bias))
+
+    def best(scores: Column) -> Column:
+        top = F.array_max(scores)
+        total = F.aggregate(scores, F.lit(0.0), lambda t, s: t + F.exp((s - top) / F.lit(model.temperature)))
+        return F.when(1 / total >= SURE, F.get(F.array(*map(F.lit, model.classes)), F.array_position(scores, top).cast("int") - 1))
+
+    def label(words: Column) -> Column:
+        found = F.array_distinct(F.concat(F.filter(words, known), F.filter(_runs(words, 2), known)))
+        summed = lambda fs: F.aggregate(fs, bias, lambda total, f: F.zip_with(total, row(f), lambda x, y: x + y))
+        return _let(found, lambda fs: F.when(F.size(fs) > 0, _let(_let(summed(fs), best), lambda c: F.nullif(c, F.lit(NEITHER)))))
+
+    return label
+
+
+def _confirmed(words: Column, label: Column) -> Column:
+    """The label if a template of its family has enough of the words' triples, else unknown."""
+    triples = lambda w: sorted({" ".join(w[j : j + 3]) for j in range(max(1, len(w) - 2))})
+    cut = {k: [{"t": triples(w), "n": max(1, len(w) - 2)} for w in map(words_of, texts)] for k, texts in TEMPLATES.items()}
+    templates = _literal(cut, "map<string,array<struct<t:array<string>,n:int>>>")
+    mine = F.array_distinct(F.when(F.size(words) < 3, F.array(F.concat_ws(" ", words))).otherwise(_runs(words, 3)))
+    similar = lambda m, x: F.size(F.array_intersect(m, x["t"])) >= CONFIRM * F.least(F.size(m), x["n"])
+    sure = _let(mine, lambda m: F.exists(F.coalesce(F.try_element_at(templates, label), F.array()), lambda x: similar(m, x)))
+    return F.when(sure, label).otherwise(F.lit(UNKNOWN))
+
+
+def hits(text: str, model: Model) -> Column:
+    """array<struct<pos, label>>: the paragraphs of a text column that are of a licence family or of the unknown class."""
+    classify = _classified(model)
+    words = lambda line: F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0))
+    named = lambda w: _let(classify(w), lambda label: F.when(label.isNotNull(), _confirmed(w, label)))
+    each = F.transform(F.split(text, "\n", -1), lambda line, pos: F.struct(pos.alias("pos"), _let(words(line), named).alias("label")))
+    return F.coalesce(F.filter(each, lambda h: h["label"].isNotNull()), F.array().cast("array<struct<pos:int,label:string>>"))
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, n_licence, n_unknown, families and found (pos:family, in order) of every document."""
-    spark = docs.sparkSession
-    hits = confirmed(spark, classified(spark, docs, model or train()))
-    listed = F.array_sort(F.collect_list(F.struct("pos", "label")))
-    grouped = hits.groupBy("d", "t").agg(listed.alias("hits"))
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"))
-    out = keyed.join(grouped, keyed["doc_id"].eqNullSafe(grouped["d"]) & (keyed["text_hash"] == grouped["t"]), "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<pos:int,label:string>>")))
+    out = docs.select("doc_id", hits("text", model or train()).alias("hits"))
     families = F.array_sort(F.array_distinct(F.filter(F.col("hits.label"), lambda x: x != UNKNOWN)))
     return out.select(
         "doc_id",
