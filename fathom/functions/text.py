@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,14 +11,19 @@ from pyspark.sql import functions as F
 EDGES = r"(?U)^\s+|\s+$"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value worked out once, however often f names it, also within a lambda."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip(x: Column) -> Column:
-    """Without white space at the edges."""
-    return F.regexp_replace(x, EDGES, "")
+    """Without white space at the edges; x is named several times. Only strings that have some pay for the search."""
+    return F.when(F.concat(F.left(x, F.lit(1)), F.right(x, F.lit(1))).rlike(r"(?U)\s"), F.regexp_replace(x, EDGES, "")).otherwise(x)
 
 
 def alnum_count(x: Column) -> Column:
     """Letters and digits in a string."""
-    return F.length(F.regexp_replace(x, r"[^\p{L}\p{N}]", ""))
+    return F.length(F.regexp_replace(x, r"[^\p{L}\p{N}]+", ""))
 
 
 def is_valid_text(x: Column) -> Column:
@@ -52,13 +59,13 @@ def extension(key: Column) -> Column:
 
 def distinct_lines(lines: Column) -> Column:
     """Order-preserving: the first spelling of each line, compared without case; meant for page-sized arrays."""
-    keys = F.transform(lines, F.lower)
-    return F.filter(lines, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)
+    first = lambda ls, keys: F.filter(ls, lambda _, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+    return let(lines, lambda ls: let(F.transform(ls, F.lower), lambda keys: first(ls, keys)))
 
 
 def cell(x: Column) -> Column:
     """A table cell: null becomes empty, line ends become blanks, edges are stripped."""
-    return strip(F.regexp_replace(F.coalesce(x, F.lit("")), "\n", " "))
+    return let(F.regexp_replace(F.coalesce(x, F.lit("")), "\n", " "), strip)
 
 
 def is_valid_table(rows: Column) -> Column:

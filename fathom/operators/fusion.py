@@ -43,6 +43,15 @@ def minmax(x: str, by: str = "query_id") -> Column:
     return F.when(high - low <= 1e-12, F.lit(1.0)).otherwise((v - low) / F.when(high - low <= 1e-12, F.lit(1.0)).otherwise(high - low))
 
 
+def minmax_within(rows: DataFrame, x: str, by: str, name: str) -> DataFrame:
+    """Adds a score as minmax does, for groups of any size: bounds are aggregated first and then joined."""
+    v = F.coalesce(F.col(x), F.lit(0.0))
+    bounds = rows.groupBy(F.col(by).alias("_by")).agg(F.min(v).alias("_low"), F.max(v).alias("_high"))
+    wide = F.col("_high") - F.col("_low")
+    scaled = F.when(wide <= 1e-12, F.lit(1.0)).otherwise((v - F.col("_low")) / F.when(wide <= 1e-12, F.lit(1.0)).otherwise(wide))
+    return rows.join(bounds, F.col(by).eqNullSafe(F.col("_by"))).withColumn(name, scaled).drop("_by", "_low", "_high")
+
+
 def fuse(found: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), boost: str | None = None) -> DataFrame:
     """Adds final, the weighted sum of normalised scores, over each query's whole candidate set."""
     weights = {"vec": cfg.w_vec, "bm25": cfg.w_bm25, "graph": cfg.w_graph, "gear": cfg.w_gear}
@@ -79,12 +88,28 @@ def provenance() -> Column:
 
 
 def answer(ranked: DataFrame) -> DataFrame:
-    """(query_id, answer): a template answer that cites each chunk, in rank order."""
-    cite = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.substring("text", 1, 60), F.lit(" ("), F.coalesce("source", F.lit("?")), F.lit(", p."), F.col("chunk_id").cast("string"), F.lit(")"))
+    """(query_id, answer): a template answer that cites each chunk with its whole text, in rank order."""
+    cite = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("text"), F.lit(" ("), F.coalesce("source", F.lit("?")), F.lit(", p."), F.col("chunk_id").cast("string"), F.lit(")"))
     ordered = F.array_sort(F.collect_list(F.struct("rank", cite.alias("c"))))
     return ranked.groupBy("query_id").agg(ordered.alias("o")).select("query_id", F.array_join("o.c", "\n").alias("answer"))
 
 
+def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(query_id, doc_id) of the documents whose text holds a passage.
+
+    The words within a passage, its first and last left aside, are whole words of every text that holds it. The rarest
+    of them leads to the candidates by an equi-join, and only these are searched. Passages of one or two words have no
+    such word and are searched in all texts; they join as the few they are.
+    """
+    words = passages.select("query_id", "passage", F.split("passage", " ", -1).alias("w"))
+    terms = words.where("size(w) > 2").select("query_id", F.explode(F.array_distinct(F.slice("w", F.lit(2), F.size("w") - 2))).alias("word"))
+    hits = docs.where("text is not null").select("doc_id", F.explode(F.array_distinct(F.split("text", " ", -1))).alias("word")).join(terms.select("word").distinct(), "word", "left_semi")
+    rarest = terms.join(hits.groupBy("word").agg(F.count("*").alias("n")), "word").groupBy("query_id").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
+    candidates = hits.join(rarest, "word").select("query_id", "doc_id").join(docs.select("doc_id", "text"), "doc_id").join(words.select("query_id", "passage"), "query_id")
+    short = docs.join(words.where("size(w) <= 2"), F.contains("text", "passage"))
+    return candidates.where(F.contains("text", "passage")).select("query_id", "doc_id").unionByName(short.select("query_id", "doc_id"))
+
+
 def hit_at_k(ranked: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """(query_id, hit): whether a true chunk is among the first k."""
     hits = ranked.where(F.col("rank") <= k).join(truth, ["query_id", "chunk_id"]).select("query_id").distinct().withColumn("h", F.lit(1))

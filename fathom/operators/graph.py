@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from fathom.functions.text import hop_score, seed_tokens, tokens
 
 
-def entities(docs: DataFrame, shortest: int = 6, least: int = 2, most: int = 20) -> DataFrame:
-    """(name, chunk_id, df): words of middling document frequency and the first document that has them."""
+def entities(docs: DataFrame, shortest: int = 6, least: int = 2) -> DataFrame:
+    """(name, chunk_id, df): long words that several documents have, and the first document that has them.
+
+    They stand in for the entities that a model would name; there is no upper bound of the document frequency.
+    """
     each = docs.select("doc_id", F.explode(F.array_distinct(F.filter(tokens(F.col("text")), lambda t: F.length(t) >= shortest))).alias("name"))
-    return each.groupBy("name").agg(F.min("doc_id").alias("chunk_id"), F.count("*").alias("df")).where(F.col("df").between(least, most))
+    return each.groupBy("name").agg(F.min("doc_id").alias("chunk_id"), F.count("*").alias("df")).where(F.col("df") >= least)
 
 
 def co_occurrence(docs: DataFrame, vertices: DataFrame, shortest: int = 6) -> DataFrame:
@@ -36,13 +39,15 @@ def expand(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """(query_id, name, hop, path) of all vertices within some hops, each at its least hop with its least path.
 
     A frontier is joined with the edges for each hop and cut to vertices not met before. Seeds alone are not
-    reached; a seed that another seed leads to is.
+    reached; a seed that another seed leads to is. Paths of a query's frontier are numbered in order, so that the
+    join over the edges carries and compares numbers; the paths themselves come back at the end.
     """
     frontier = seeds.select("query_id", "name", F.array("name").alias("path"))
     found: list[DataFrame] = []
     for hop in range(1, hops + 1):
-        step = frontier.join(edges, frontier["name"] == edges["src"]).select("query_id", F.col("dst").alias("name"), F.concat("path", F.array("dst")).alias("path"))
-        step = step.groupBy("query_id", "name").agg(F.min("path").alias("path"))
+        numbered = frontier.withColumn("number", F.row_number().over(W.partitionBy("query_id").orderBy("path")))
+        step = numbered.select("query_id", "name", "number").join(edges, F.col("name") == edges["src"]).groupBy("query_id", F.col("dst").alias("to")).agg(F.min("number").alias("number"))
+        step = step.join(numbered.select("query_id", "number", "path"), ["query_id", "number"]).select("query_id", F.col("to").alias("name"), F.concat("path", F.array("to")).alias("path"))
         for earlier in found:
             step = step.join(earlier.select("query_id", "name"), ["query_id", "name"], "left_anti")
         frontier = step

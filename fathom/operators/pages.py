@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fathom.config import IngestConfig
-from fathom.functions.text import distinct_lines, is_valid_line, strip
+from fathom.functions.text import distinct_lines, is_valid_line, let, strip
 
 
 def unique_documents(docs: DataFrame) -> DataFrame:
@@ -26,12 +26,15 @@ def page_text(lines: Column, page: Column, keep_markup: bool = False) -> Column:
 
 
 def assemble_pages(documents: DataFrame, cfg: IngestConfig = IngestConfig()) -> DataFrame:
-    """(chunk_id, document_id, page_number, text): fixed windows of lines; no shuffle."""
+    """(chunk_id, document_id, page_number, text): fixed windows of lines; no shuffle.
+
+    A document's pages are made within its row, each from its own lines, so that long documents take linear time.
+    """
     n = cfg.lines_per_page
-    lines = F.split("text", "\n", -1)
-    numbered = documents.select("document_id", lines.alias("lines")).select("document_id", "lines", F.explode(F.sequence(F.lit(1), F.ceil(F.size("lines") / n).cast("int"))).alias("page_number"))
-    part = F.slice("lines", (F.col("page_number") - 1) * n + 1, F.lit(n))
-    return numbered.select(F.concat("document_id", F.lit("_"), F.col("page_number").cast("string")).alias("chunk_id"), "document_id", F.col("page_number").cast("long").alias("page_number"), page_text(part, F.col("page_number"), cfg.keep_markup).alias("text"))
+    page = lambda lines, p: F.struct(p.cast("long").alias("page_number"), page_text(F.slice(lines, (p - 1) * n + 1, F.lit(n)), p, cfg.keep_markup).alias("text"))
+    every = let(F.split("text", "\n", -1), lambda lines: F.transform(F.sequence(F.lit(1), F.ceil(F.size(lines) / n).cast("int")), lambda p: page(lines, p)))
+    each = documents.select("document_id", F.inline(every))
+    return each.select(F.concat("document_id", F.lit("_"), F.col("page_number").cast("string")).alias("chunk_id"), "document_id", "page_number", "text")
 
 
 def dedupe_lines(docs: DataFrame) -> DataFrame:

@@ -44,12 +44,12 @@ def skip_processed_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.skip_processed(raw, done).select("doc_id", "file_hash")
 
 
-@query(f"""WITH {_RAW}, here AS (SELECT DISTINCT raw_key AS rel FROM raw WHERE doc_id % 3 <> 0), there AS (SELECT DISTINCT raw_key AS rel FROM raw WHERE doc_id % 5 <> 0)
+@query("""WITH here AS (SELECT DISTINCT 'obj/' || doc_id AS rel FROM documents), there AS (SELECT DISTINCT 'obj/' || c_custkey AS rel FROM customer)
 SELECT rel, 'local' AS side FROM here WHERE rel NOT IN (SELECT rel FROM there) UNION ALL SELECT rel, 'remote' FROM there WHERE rel NOT IN (SELECT rel FROM here)""")
 def sync_diff_both(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What either of two listings lacks; the listings stand in for a folder and a bucket."""
-    raw = tables.raw_objects(spark, sf_dir).select("doc_id", F.col("raw_key").alias("rel"))
-    return ingest.sync_difference(raw.where("doc_id % 3 <> 0"), raw.where("doc_id % 5 <> 0"))
+    """What either of two listings lacks; the keys of two tables stand in for a folder and a bucket."""
+    listed = lambda table, key: load(spark, sf_dir, table).select(F.concat(F.lit("obj/"), F.col(key).cast("string")).alias("rel"))
+    return ingest.sync_difference(listed("documents", "doc_id"), listed("customer", "c_custkey"))
 
 
 @query("SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1")

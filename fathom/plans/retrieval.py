@@ -20,7 +20,7 @@ _TOK = r"toks AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesc
 _POST = f"""{_TOK}, tf AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS token FROM toks) GROUP BY ALL),
 df AS (SELECT token, count(*) AS df FROM tf GROUP BY token), st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM toks), dl AS (SELECT doc_id, len(t) AS dl FROM toks)"""
 _ONE = f"q AS (SELECT 0::BIGINT AS query_id, '{tables.QUERY}' AS text)"
-_MANY = "q AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS text FROM benchmark)"
+_MANY = "q AS (SELECT item_id AS query_id, text FROM benchmark)"
 _BM25 = rf"""qt AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')) AS token FROM q),
 bm AS (SELECT query_id, doc_id, round(sum(ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * {CFG.k1 + 1.0}::DOUBLE / (tf + {CFG.k1}::DOUBLE * (1.0::DOUBLE - {CFG.b}::DOUBLE + {CFG.b}::DOUBLE * dl / avgdl))), 6) AS score
   FROM qt JOIN tf USING (token) JOIN df USING (token) JOIN dl USING (doc_id) CROSS JOIN st GROUP BY ALL),
@@ -109,7 +109,7 @@ def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- graph
 
-_GRAPH = rf"""{_TOK}, ent AS (SELECT name, min(doc_id) AS chunk_id, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(list_filter(t, lambda x: length(x) >= 6)) AS name FROM toks) GROUP BY name HAVING count(*) BETWEEN 2 AND 20),
+_GRAPH = rf"""{_TOK}, ent AS (SELECT name, min(doc_id) AS chunk_id, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(list_filter(t, lambda x: length(x) >= 6)) AS name FROM toks) GROUP BY name HAVING count(*) >= 2),
 ls AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents),
 lt AS (SELECT doc_id, line_no, list_filter(regexp_split_to_array(lower(line), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '') AS t FROM ls),
 w AS (SELECT doc_id, line_no, generate_subscripts(t, 1) AS pos, unnest(t) AS name FROM lt),
@@ -226,7 +226,7 @@ def minmax_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values between 0 and 1 within their type."""
     from fathom.session import load
 
-    return load(spark, sf_dir, "events").select("event_id", "event_type", F.round(fusion.minmax("value", "event_type"), 6).alias("norm"))
+    return fusion.minmax_within(load(spark, sf_dir, "events"), "value", "event_type", "norm").select("event_id", "event_type", F.round("norm", 6).alias("norm"))
 
 
 @query(f"WITH {_RANKED} SELECT query_id, chunk_id, final FROM ranked")
@@ -280,7 +280,7 @@ def retrieve_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "rank", "chunk_id", *(F.col(f"p.{c}").isNotNull().alias(f"by_{c}") for c in fusion.CHANNELS), F.coalesce(F.array_join("p.gear_path", ">"), F.lit("")).alias("path"))
 
 
-@query(f"""WITH {_RANKED} SELECT query_id, string_agg('[' || rank || '] ' || left(coalesce(text, ''), 60) || ' (' || coalesce(source, '?') || ', p.' || chunk_id || ')', chr(10) ORDER BY rank) AS answer FROM top LEFT JOIN documents ON doc_id = chunk_id GROUP BY query_id""")
+@query(f"""WITH {_RANKED} SELECT query_id, string_agg('[' || rank || '] ' || coalesce(text, '') || ' (' || coalesce(source, '?') || ', p.' || chunk_id || ')', chr(10) ORDER BY rank) AS answer FROM top LEFT JOIN documents ON doc_id = chunk_id GROUP BY query_id""")
 def llmless_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Template answers with citations."""
     return fusion.answer(fusion.with_text(_top(spark, sf_dir), tables.docs(spark, sf_dir)))
@@ -293,6 +293,5 @@ def hit_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fathom.session import load
 
     passages = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    docs = tables.docs(spark, sf_dir)
-    truth = docs.join(passages, F.contains("text", "passage")).groupBy("query_id").agg(F.min("doc_id").alias("chunk_id"))
+    truth = fusion.containing(tables.docs(spark, sf_dir), passages).groupBy("query_id").agg(F.min("doc_id").alias("chunk_id"))
     return fusion.hit_at_k(_top(spark, sf_dir), truth, CFG.top_k)
