@@ -107,3 +107,13 @@ def hop_score(hop: Column) -> Column:
 def utc_stamp(ts: Column) -> Column:
     """ISO-8601 with a Z."""
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+def truncate(words: Column, limit: Column) -> Column:
+    """The first tokens of a text, by its own limit."""
+    return F.slice(words, F.lit(1), limit)
+
+
+def image_large_enough(width: Column, height: Column, least: int = 50) -> Column:
+    """Whether an image, in pixels, is worth reading."""
+    return F.coalesce((width >= least) & (height >= least), F.lit(False))

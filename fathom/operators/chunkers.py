@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fathom.functions.text import tokens
+from fathom.functions.text import let, tokens
 
 #: What goes before blocks are cut.
 NOISE = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->"
@@ -63,3 +63,91 @@ def gap_sessions(events: DataFrame, gap_seconds: int) -> DataFrame:
     seconds = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))) / 1e6
     marked = events.withColumn("new", F.coalesce((seconds > gap_seconds).cast("long"), F.lit(0)))
     return marked.withColumn("session", F.sum("new").over(w)).groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+#: Tags that begin or end a block, and what stands around them while blocks are cut.
+STRUCTURE = r"(?is)<(/?)(h[1-6]|p|li|div|table|tr|td|th|ul|ol|nav|article|body|head|html|title)(?:\s[^>]*)?>"
+OPEN, CLOSE = "\x01", "\x02"
+
+
+def html_outline(pages: DataFrame) -> DataFrame:
+    """(page_id, pos, tag, text, parent): texts by the tag that they follow, with the heading that each belongs to.
+
+    Text after an end tag has the tag `body`. A heading's parent is the last one of a lower level, and that of other
+    blocks is the last heading, both by position; what precedes all headings has none.
+    """
+    marked = pages.select("page_id", F.regexp_replace(F.regexp_replace("html", NOISE, ""), STRUCTURE, f"{OPEN}$1$2{CLOSE}").alias("h"))
+    each = marked.select("page_id", F.posexplode(F.split("h", OPEN)).alias("pos", "piece")).select("page_id", F.col("pos").cast("long").alias("pos"), F.split("piece", CLOSE, 2).alias("p"))
+    text = F.trim(F.regexp_replace(F.regexp_replace(F.element_at("p", -1), r"(?s)<[^>]*>", ""), r"\s+", " "))
+    tag = F.when((F.size("p") < 2) | F.startswith(F.get("p", F.lit(0)), F.lit("/")), "body").otherwise(F.lower(F.get("p", F.lit(0))))
+    blocks = each.select("page_id", "pos", tag.alias("tag"), text.alias("text")).where("text <> ''")
+    level = F.when(F.col("tag").rlike("^h[1-6]$"), F.substring("tag", 2, 1).cast("int"))
+    w = W.partitionBy("page_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    leveled = blocks.withColumn("level", level)
+    above = lambda k: F.last(F.when(F.col("level") < k, F.col("pos")), True).over(w)
+    parent = F.coalesce(*(F.when(F.col("level") == k, above(k)) for k in range(1, 7)), F.when(F.col("level").isNull(), above(7)))
+    return leveled.select("page_id", "pos", "tag", "text", parent.alias("parent"))
+
+
+def html_table_rows(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, tbl, row, markdown): the rows of the tables of pages, with bars; tables do not nest."""
+    both = lambda text, tag: F.regexp_extract_all(text, F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"), F.lit(1))
+    tables = pages.select(key, F.posexplode(both(F.col("html"), "table")).alias("tbl", "t"))
+    rows = tables.select(key, "tbl", F.posexplode(both(F.col("t"), "tr")).alias("row", "r"))
+    cells = F.transform(both(F.col("r"), "t[dh]"), lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"(?s)<[^>]*>", ""), r"\s+", " ")))
+    return rows.select(key, F.col("tbl").cast("long").alias("tbl"), F.col("row").cast("long").alias("row"), F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |")).alias("markdown"))
+
+
+def json_paths(rows: DataFrame, key: str, column: str, depth: int = 4) -> DataFrame:
+    """(key, path, value): the leaves of nested JSON, objects by name and arrays by place, down to some depth.
+
+    Each level is one explode of what is still an object or an array; values below the last level stay JSON.
+    """
+    now = rows.select(key, F.lit("").alias("path"), F.try_parse_json(column).alias("v")).where("v is not null")
+    out = None
+    for level in range(depth):
+        kind = F.schema_of_variant("v")
+        nested = F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
+        leaves = now.where(~nested).select(key, "path", F.col("v").cast("string").alias("value"))
+        out = leaves if out is None else out.unionByName(leaves)
+        now = now.where(nested).select(key, "path", F.col("v").alias("box")).lateralJoin(_entries()).select(key, F.concat("path", F.when(F.col("k").isNull(), F.concat(F.lit("["), F.col("at").cast("string"), F.lit("]"))).otherwise(F.concat(F.when(F.col("path") == "", "").otherwise("."), F.col("k")))).alias("path"), "v")
+    return out.unionByName(now.select(key, "path", F.to_json("v").alias("value")))
+
+
+def _entries() -> DataFrame:
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.active()
+    return spark.tvf.variant_explode(F.col("box").outer()).toDF("at", "k", "v")
+
+
+def markdown_blocks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, block, kind, text): headings, fenced code and paragraphs of Markdown, in order.
+
+    A heading is a line of its own, code runs from fence to fence with blank lines kept, a paragraph to the next blank
+    line, heading or fence.
+    """
+    lines = docs.select(key, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    w = W.partitionBy(key).orderBy("pos")
+    fence = F.startswith("line", F.lit("```"))
+    fenced = lines.withColumn("fences", F.count_if(fence).over(w)).withColumn("code", (F.col("fences") % 2 == 1) | fence)
+    kind = F.when(F.col("code"), "code").when(F.col("line").rlike("^#{1,6} "), "heading").when(F.trim("line") == "", "blank").otherwise("paragraph")
+    kinds = fenced.withColumn("kind", kind).withColumn("before", F.lag("kind").over(w))
+    opens = F.col("before").isNull() | (F.col("kind") != F.col("before")) | (F.col("kind") == "heading") | ((F.col("kind") == "code") & fence & (F.col("fences") % 2 == 1))
+    numbered = kinds.withColumn("block", F.count_if(opens).over(w)).where("kind <> 'blank'")
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "line")))
+    return numbered.groupBy(key, "block", "kind").agg(ordered.alias("o")).select(key, "block", "kind", F.array_join("o.line", "\n").alias("text"))
+
+
+def paragraphs(docs: DataFrame, key: str = "doc_id", lines: int = 0) -> DataFrame:
+    """(key, para, text): pieces of plain text between blank lines, or windows of so many lines if it has no blank line."""
+
+    def windows(text: Column) -> Column:
+        every = F.split(text, "\n", -1)
+        return let(every, lambda ls: F.transform(F.sequence(F.lit(1), F.size(ls), F.lit(lines)), lambda i: F.array_join(F.slice(ls, i, F.lit(lines)), "\n")))
+
+    pieces = F.filter(F.transform(F.split("text", r"\n[ \t]*\n\s*", -1), lambda p: F.trim(p)), lambda p: p != "")
+    if lines:
+        pieces = F.when(F.col("text").rlike(r"\n[ \t]*\n"), pieces).otherwise(windows(F.col("text")))
+    each = docs.where("text is not null").select(key, F.posexplode(pieces).alias("para", "text"))
+    return each.select(key, F.col("para").cast("long").alias("para"), "text")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fathom.config import RetrievalConfig
+from fathom.functions.text import let, tokens
 
 CHANNELS = ("vec", "bm25", "graph", "gear")
 
@@ -114,3 +115,35 @@ def hit_at_k(ranked: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """(query_id, hit): whether a true chunk is among the first k."""
     hits = ranked.where(F.col("rank") <= k).join(truth, ["query_id", "chunk_id"]).select("query_id").distinct().withColumn("h", F.lit(1))
     return truth.select("query_id").distinct().join(hits, "query_id", "left").select("query_id", F.coalesce("h", F.lit(0)).cast("long").alias("hit"))
+
+
+def word_shingles(text: Column, n: int = 5) -> Column:
+    """The distinct runs of n words of a text; a shorter text is one run, and one without words has none."""
+    runs = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, F.lit(n)), " ")))
+    return let(tokens(text), lambda t: F.when(F.size(t) > 0, runs(t)).otherwise(F.array().cast("array<string>")))
+
+
+def merge_near(ranked: DataFrame, percent: int = 80) -> DataFrame:
+    """Adds merged_into, the best rank of a higher-ranked result of the same query that a result is a near duplicate of.
+
+    ranked has text and at most the k results of a query, so a query's pairs are bounded by k squared.
+    """
+    each = ranked.withColumn("_s", word_shingles(F.col("text")))
+    above = each.select(F.col("query_id").alias("_q"), F.col("rank").alias("_rank"), F.col("_s").alias("_t"))
+    both = F.size(F.array_intersect("_s", "_t"))
+    near = (both > 0) & (both * 100 >= (F.size("_s") + F.size("_t") - both) * percent)
+    hits = each.join(above, (F.col("query_id") == F.col("_q")) & (F.col("_rank") < F.col("rank")) & near).groupBy("query_id", "rank").agg(F.min("_rank").alias("merged_into"))
+    return ranked.join(hits, ["query_id", "rank"], "left")
+
+
+def parse_query(queries: DataFrame) -> DataFrame:
+    """(query_id, text, filters): a query in lower case with single blanks, and its key:value words as a map.
+
+    Of a key that is given twice the last value counts.
+    """
+    words = F.filter(F.split(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")), " "), lambda w: w != "")
+    is_filter = lambda w: w.rlike("^[a-z_]+:[^:]+$")
+    pairs = F.transform(F.filter("w", is_filter), lambda w: F.struct(F.split(w, ":")[0].alias("key"), F.split(w, ":")[1].alias("value")))
+    last = F.filter("p", lambda x, i: ~F.exists(F.slice("p", i + 2, F.size("p")), lambda y: y["key"] == x["key"]))
+    each = queries.select("query_id", words.alias("w")).select("query_id", F.array_join(F.filter("w", lambda w: ~is_filter(w)), " ").alias("text"), pairs.alias("p"))
+    return each.select("query_id", "text", F.map_from_entries(last).alias("filters"))

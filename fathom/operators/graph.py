@@ -29,6 +29,20 @@ def co_occurrence(docs: DataFrame, vertices: DataFrame, shortest: int = 6) -> Da
     return found.select(F.col("name").alias("src"), F.lead("name").over(w).alias("dst")).where("dst is not null and src <> dst").distinct()
 
 
+def triplets(docs: DataFrame, vertices: DataFrame, shortest: int = 6) -> DataFrame:
+    """(subject, predicate, object, n): an entity, the next one in the same line and the words between them.
+
+    Entities without a word between are `next` to each other. A model's triplets take the same form.
+    """
+    lines = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).select("doc_id", "line_no", tokens(F.col("line")).alias("words"))
+    each = lines.select("doc_id", "line_no", F.posexplode("words").alias("pos", "name"))
+    found = each.where(F.length("name") >= shortest).join(vertices.select("name"), "name")
+    w = W.partitionBy("doc_id", "line_no").orderBy("pos")
+    pairs = found.select("doc_id", "line_no", "pos", F.col("name").alias("subject"), F.lead("name").over(w).alias("object"), F.lead("pos").over(w).alias("to")).where("object is not null and subject <> object")
+    between = pairs.join(lines, ["doc_id", "line_no"]).select("subject", "object", F.array_join(F.slice("words", F.col("pos") + 2, F.col("to") - F.col("pos") - 1), " ").alias("between"))
+    return between.groupBy("subject", F.when(F.col("between") == "", "next").otherwise(F.col("between")).alias("predicate"), "object").agg(F.count("*").alias("n"))
+
+
 def link(queries: DataFrame, vertices: DataFrame) -> DataFrame:
     """(query_id, name): the entities that a query's words name exactly."""
     words = queries.select("query_id", F.explode(F.array_distinct(seed_tokens(F.col("text")))).alias("name"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fathom.plans import ingest, retrieval, serving, texts  # noqa: F401  registers their queries
+from fathom.plans import ingest, parsing, retrieval, serving, texts  # noqa: F401  registers their queries
 from fathom.plans.registry import QUERIES, SQL, Query
 
 FLAGSHIP = "retrieve_topk"

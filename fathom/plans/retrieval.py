@@ -286,6 +286,36 @@ def llmless_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.answer(fusion.with_text(_top(spark, sf_dir), tables.docs(spark, sf_dir)))
 
 
+_SHINGLES = "list_distinct(list_transform(range(1, greatest(len(t) - 4, 1) + 1), lambda i: array_to_string(t[i:i + 4], ' ')))"
+
+
+@query(f"""WITH {_RANKED}, s AS (SELECT query_id, rank, chunk_id, CASE WHEN len(t) > 0 THEN {_SHINGLES} ELSE [] END AS s FROM top JOIN toks ON doc_id = chunk_id),
+p AS (SELECT a.query_id, a.rank, min(b.rank) AS merged_into FROM s a JOIN s b ON a.query_id = b.query_id AND b.rank < a.rank AND len(list_intersect(a.s, b.s)) > 0
+  AND len(list_intersect(a.s, b.s)) * 100 >= (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) * 80 GROUP BY ALL)
+SELECT query_id, rank, chunk_id, merged_into FROM top LEFT JOIN p USING (query_id, rank)""")
+def merge_near_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results that are near duplicates of a better one of the same query."""
+    found = fusion.merge_near(fusion.with_text(_top(spark, sf_dir), tables.docs(spark, sf_dir)))
+    return found.select("query_id", "rank", "chunk_id", "merged_into")
+
+
+@query(r"""WITH w AS (SELECT item_id AS query_id, list_filter(string_split(trim(regexp_replace(lower('Lang:EN  Source:src' || item_id || ' ' || text || ' lang:de'), '\s+', ' ', 'g')), ' '), lambda w: w <> '') AS w FROM benchmark)
+SELECT query_id, array_to_string(list_filter(w, lambda x: NOT regexp_matches(x, '^[a-z_]+:[^:]+$')), ' ') AS text, 'de' AS lang, 'src' || query_id AS source FROM w""")
+def query_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries brought to one form, their filters apart."""
+    asked = tables.benchmark_queries(spark, sf_dir).select("query_id", F.concat(F.lit("Lang:EN  Source:src"), F.col("query_id").cast("string"), F.lit(" "), "text", F.lit(" lang:de")).alias("text"))
+    return fusion.parse_query(asked).select("query_id", "text", F.col("filters")["lang"].alias("lang"), F.col("filters")["source"].alias("source"))
+
+
+@query(f"""WITH {_GRAPH}, pr AS (SELECT doc_id, line_no, pos, name AS subject, lead(name) OVER (PARTITION BY doc_id, line_no ORDER BY pos) AS object, lead(pos) OVER (PARTITION BY doc_id, line_no ORDER BY pos) AS nxt FROM w WHERE name IN (SELECT name FROM ent)),
+bt AS (SELECT subject, object, array_to_string(t[pos + 1:nxt - 1], ' ') AS between FROM pr JOIN lt USING (doc_id, line_no) WHERE object IS NOT NULL AND subject <> object)
+SELECT subject, CASE WHEN between = '' THEN 'next' ELSE between END AS predicate, object, count(*) AS n FROM bt GROUP BY ALL""")
+def entity_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring entities of a line and the words between them."""
+    docs = tables.docs(spark, sf_dir)
+    return graph.triplets(docs, graph.entities(docs))
+
+
 @query(f"""WITH {_RANKED}, truth AS (SELECT item_id AS query_id, min(doc_id) AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id)
 SELECT query_id, max(CASE WHEN top.chunk_id = truth.chunk_id THEN 1 ELSE 0 END)::BIGINT AS hit FROM truth LEFT JOIN top USING (query_id) GROUP BY query_id""")
 def hit_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:

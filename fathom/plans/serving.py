@@ -82,6 +82,12 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.run_once(spark, sf_dir, "events", lambda e: e.select("user_id", "event_type").dropDuplicates(["user_id", "event_type"]), "append")
 
 
+@query("SELECT DISTINCT md5(text) AS file_hash FROM documents WHERE text IS NOT NULL")
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incremental ingest: each content once, by a stream over the files."""
+    return streams.run_once(spark, sf_dir, "documents", streams.first_of_content, "append")
+
+
 @query(f"{_ONE_DAY} SELECT event_id, user_id, used, used <= {LIMIT} AS allowed FROM f")
 def stream_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quota as a stream with state for each user."""

@@ -63,6 +63,16 @@ def manifests(objects: DataFrame, run_id: str, key: str = "raw_key", content: st
     return objects.select(content_hash(F.col(content)).alias("file_hash"), F.col(key).alias("raw_key"), F.lit(run_id).alias("pipeline_run_id"), media_type(F.col(key)).alias("mime_type"))
 
 
+def with_manifest(objects: DataFrame, known: DataFrame, key: str = "raw_key") -> DataFrame:
+    """Adds document_id and mime_type from the manifests, with explicit defaults, and whether the object has an identity.
+
+    An object without a manifest has an empty document_id and is not accepted: ids made from it would collide.
+    """
+    found = objects.join(known.select(key, "file_hash", "mime_type").dropDuplicates([key]), key, "left")
+    identity = F.coalesce("file_hash", F.lit(""))
+    return found.withColumns({"document_id": identity, "mime_type": F.coalesce("mime_type", F.lit(UNKNOWN_TYPE)), "accepted": identity != ""}).drop("file_hash")
+
+
 def skip_processed(objects: DataFrame, processed: DataFrame, key: str = "file_hash", force: bool = False) -> DataFrame:
     """Objects whose hash has no chunks yet; all of them if forced."""
     return objects if force else objects.join(processed.select(key).distinct(), key, "left_anti")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def _folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The shared folder; a local one only where all tasks run in this process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
@@ -26,7 +26,7 @@ def run_once(spark: SparkSession, sf_dir: str, table: str, plan: Callable[[DataF
 
     In complete mode the last batch is the result, in append mode all batches are.
     """
-    base = f"{_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
     result = plan(spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.parquet*"))
 
@@ -40,6 +40,11 @@ def run_once(spark: SparkSession, sf_dir: str, table: str, plan: Callable[[DataF
     return spark.read.schema(result.schema).option("recursiveFileLookup", "true").parquet(f"{base}/out")
 
 
+def first_of_content(objects: DataFrame) -> DataFrame:
+    """(file_hash): each content once, whatever file brings it; the state holds hashes only."""
+    return objects.where("text is not null").select(F.md5("text").alias("file_hash")).dropDuplicates(["file_hash"])
+
+
 def timed(events: DataFrame) -> DataFrame:
     """Event time as a timestamp with a watermark; late events of more than a day are dropped by a stream."""
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day")
