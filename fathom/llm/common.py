@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 
@@ -9,11 +11,18 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Words of the filters of may_hold.
+FILTER_WORDS = 1 << 19
+#: Bytes of an Arrow batch, unless one row is larger.
+BATCH_BYTES = 2 << 20
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder of spark.checkpoint.dir; one of our own only where it is unset and all tasks run in this process."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="fathom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -33,6 +42,41 @@ def removed(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds what goes to a Python worker at once by BATCH_BYTES, unless the session has a bound of its own.
+
+    Without it a batch is a number of rows, whatever they weigh; the setting stays for what the session runs next.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def may_be_among(rows: DataFrame, keys: DataFrame, key: str, mark: str) -> DataFrame:
+    """Adds whether a row's hash may be among the keys: a filter of FILTER_WORDS words of 64 bits, broadcast for its fixed size.
+
+    It keeps what has no partner out of the shuffle of the join that follows; where it is full, it changes nothing.
+    """
+    word = lambda k: F.pmod(F.shiftright(k, 6), F.lit(FILTER_WORDS))
+    bit = lambda k: F.expr(f"shiftleft(1L, cast({k} & 63 as int))")
+    bits = keys.groupBy(word(key).alias("_word")).agg(F.bit_or(bit(key)).alias("_bits"))
+    marked = rows.withColumn("_word", word(key)).join(F.broadcast(bits), "_word", "left")
+    return marked.withColumn(mark, F.coalesce(F.col("_bits").bitwiseAND(bit(key)) != 0, F.lit(False))).drop("_word", "_bits")
+
+
+def may_hold(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose hash may be among the keys, see may_be_among."""
+    return may_be_among(rows, keys, key, "_may").where("_may").drop("_may")
+
+
+def let_go(spark: SparkSession) -> None:
+    """Frees the disk of shuffles that nothing reads any more.
+
+    Spark's cleaner learns of them only when the driver's JVM collects garbage, which may be long after.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame:
     """(node, component): the smallest node that each node of an edge reaches.
 

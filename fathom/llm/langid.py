@@ -5,9 +5,10 @@ texts, the word itself (the lexicon). The field has learned transitions between
 language; forward-backward gives each word's distribution, and a text's language is the one with the largest
 mean over its words, that mean being the score.
 
-Training takes the texts of at most DOCS_PER_LABEL documents of each language (those of the least hash of
-doc_id, out of the documents that are not held out), cuts them into runs of words and splices runs of different
-languages into sequences, which is where the transitions come from. Prediction reads whole texts.
+Training takes the first CHARS_PER_DOC characters of at most DOCS_PER_LABEL documents of each language (those of the
+least hash of doc_id, out of the documents that are not held out), cuts them into runs of words, at most RUNS in all,
+and splices runs of different languages into sequences, which is where the transitions come from. All languages are
+learned. Prediction reads whole texts.
 
 Null texts and texts without letters are `und` with score 0, as are all texts if nothing could be learned.
 Words without a letter have no say. Equal texts get equal results; ties go to the first language by name.
@@ -25,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: The bound of the training sample.
-DOCS_PER_LABEL = 120
-#: Languages beyond this many (the rarest) are not learned.
-MOST_LABELS = 64
+from fathom.llm.common import bound_batches
+
+#: The bounds of the training sample: documents of each language, characters of a document, runs of words of all
+#: languages together (fewer beyond 16 languages, so that training takes no more memory).
+DOCS_PER_LABEL, CHARS_PER_DOC, RUNS = 120, 20_000, 12_000
 #: Words of a spliced run, and of a training sequence.
 RUN, SEQUENCE = 24, 96
 #: A feature or a lexicon word must occur in so many distinct words or so often.
@@ -37,8 +39,10 @@ LEAST_WORDS, LEAST_COUNT = 3, 5
 BLOCK = 32
 #: What commonly stands around a word; other characters that are not letters are dropped too, only slower.
 EDGES = ".,;:!?\"'()[]{}|#$%&*-_<>/0123456789"
-#: Characters of texts handled together, and words remembered in a Python worker.
-TOGETHER, REMEMBERED = 1_000_000, 150_000
+#: Characters of texts handled together, and scores of words remembered in a task.
+TOGETHER, REMEMBERED = 500_000, 1_000_000
+#: Numbers of the blocks' matrices at a time; texts that need more go word by word, with the same result.
+MOST_CARRIED = 8_000_000
 
 
 def bare(token: str) -> str:
@@ -87,13 +91,14 @@ def sample(docs: DataFrame, per_label: int = DOCS_PER_LABEL) -> list[tuple[str,
     """(text, language) of the training sample; only ids and languages are ranked, texts are read for the chosen."""
     usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != "und"))
     spread = F.xxhash64(F.col("doc_id").cast("string"))
-    ranked = usable.select("doc_id", "lang").withColumn("at", F.row_number().over(W.partitionBy("lang").orderBy(spread, "doc_id")))
-    chosen = [r.doc_id for r in ranked.where(F.col("at") <= per_label).orderBy("at", "lang").limit(per_label * MOST_LABELS).collect()]
-    if not chosen:
+    each = usable.select("doc_id", "lang").distinct()
+    ranked = each.withColumn("at", F.row_number().over(W.partitionBy("lang").orderBy(spread, "doc_id"))).where(F.col("at") <= per_label)
+    order = {(r.doc_id, r.lang): (r.at, r.lang) for r in ranked.collect()}
+    if not order:
         return []
-    rows = usable.where(F.col("doc_id").isin(chosen)).select("doc_id", "text", "lang").collect()
-    order = {d: i for i, d in enumerate(chosen)}
-    return [(r.text, r.lang) for r in sorted(rows, key=lambda r: (order[r.doc_id], r.lang, r.text))]
+    texts = usable.where(F.col("doc_id").isin([d for d, _ in order])).groupBy("doc_id", "lang").agg(F.min(F.substring("text", 1, CHARS_PER_DOC)).alias("text"))
+    rows = [r for r in texts.collect() if (r.doc_id, r.lang) in order]
+    return [(r.text, r.lang) for r in sorted(rows, key=lambda r: order[r.doc_id, r.lang])]
 
 
 def fit(docs: DataFrame, per_label: int = DOCS_PER_LABEL, steps: int = 40) -> Model | None:
@@ -110,9 +115,9 @@ def fit_rows(rows: list[tuple[str, str]], steps: int = 40) -> Model | None:
     runs = {k: v for k, v in runs.items() if v}
     if not runs:
         return None
-    labels = sorted(sorted(runs, key=lambda k: (-len(runs[k]), k))[:MOST_LABELS])
-    most = min(max(len(runs[k]) for k in labels), 12_000 // len(labels))
-    order = np.random.default_rng(7).permutation([(k, i) for k in range(len(labels)) for i in range(most)])
+    labels = sorted(runs)
+    most = max(1, min(max(len(runs[k]) for k in labels), RUNS * min(1, 16 / len(labels)) // len(labels)))
+    order = np.random.default_rng(7).permutation([(k, i) for k in range(len(labels)) for i in range(int(most))])
     tokens, gold = [], []
     for k, i in order.tolist():
         run = runs[labels[k]][i % len(runs[labels[k]])]
@@ -251,8 +256,23 @@ def _through(e: np.ndarray, real: np.ndarray, blocks: np.ndarray, move: np.ndarr
     return at
 
 
+def one_by_one(emit: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """As posteriors, for one text, in memory of the size of its scores."""
+    out, at = np.empty_like(emit), np.ones(emit.shape[1])
+    for t in range(len(emit)):
+        at = (at @ move if t else at) * emit[t]
+        out[t] = at = at / at.sum()
+    at = np.ones(emit.shape[1])
+    for t in range(len(emit) - 1, -1, -1):
+        out[t] *= at
+        out[t] /= out[t].sum()
+        at = move @ (emit[t] * at)
+        at /= at.sum()
+    return out
+
+
 class Tagger:
-    """Applies a model; made once in each Python worker."""
+    """Applies a model; made anew in each task, so that nothing stays in a worker."""
 
     def __init__(self, model: Model) -> None:
         self.model, self.size = model, len(model.labels)
@@ -270,6 +290,14 @@ class Tagger:
         self.emit = np.concatenate([self.emit, np.exp(scores - scores.max(1, keepdims=True)) + 1e-12]) if len(order) else self.emit
         self.lettered = np.concatenate([self.lettered, lettered])
 
+    def _posteriors(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        if not len(ids):
+            return np.empty((0, self.size))
+        if (len(ids) // BLOCK + len(lengths)) * self.size**2 <= MOST_CARRIED:
+            return posteriors(self.emit[ids], lengths, self.move)
+        ends = np.cumsum(lengths)
+        return np.concatenate([one_by_one(self.emit[ids[e - n : e]], self.move) for e, n in zip(ends, lengths, strict=True) if n])
+
     def tag(self, texts: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
         """Each text's words, which of them have letters, and their distributions."""
         at = 0
@@ -279,12 +307,12 @@ class Tagger:
                 size += len(texts[stop])
                 stop += 1
             cut = [x.split() for x in texts[at:stop]]
-            if len(self.number) > REMEMBERED:
+            if len(self.number) * self.size > REMEMBERED:
                 self.number, self.emit, self.lettered = {}, np.empty((0, self.size)), np.empty(0, bool)
             self._learn(set().union(*cut).difference(self.number))
             ids = np.array([i for words in cut for i in map(self.number.__getitem__, words)], np.int64)
             lengths = np.array([len(words) for words in cut])
-            each = posteriors(self.emit[ids], lengths, self.move) if len(ids) else np.empty((0, self.size))
+            each = self._posteriors(ids, lengths)
             lettered, done = self.lettered[ids], 0
             for words in cut:
                 yield words, lettered[done : done + len(words)], each[done : done + len(words)]
@@ -303,9 +331,10 @@ class Tagger:
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The documents with lang_pred and score added (columns of these names are replaced)."""
+    """The documents with lang_pred and score added (columns of these names are replaced; all others may have any name)."""
     if model is None:
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
 
     @F.pandas_udf("lang_pred string, score double")
@@ -315,12 +344,17 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pd.DataFrame(list(tagger.languages([x or "" for x in batch])), columns=["lang_pred", "score"])
 
     # Marked so that a filter on its fields does not make Spark evaluate it once for each field.
-    out = docs.withColumn("_tag", tagged.asNondeterministic()("text"))
-    return out.withColumns({"lang_pred": F.col("_tag.lang_pred"), "score": F.col("_tag.score")}).drop("_tag")
+    tag = "tag"
+    while tag in docs.columns:
+        tag += "_"
+    out = docs.withColumn(tag, tagged.asNondeterministic()("text"))
+    found = {"lang_pred": F.col(tag).getField("lang_pred"), "score": F.col(tag).getField("score")}
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns if c not in found), *(x.alias(c) for c, x in found.items()))
 
 
 def label_words(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and the language of each of its words, array<struct<word, lang, p>>."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("array<struct<word:string,lang:string,p:double>>")

@@ -66,3 +66,51 @@ def test_odd_rows_and_switched_text(spark, docs):
     assert np.mean([w.lang == ("en" if i < 60 else "fr") for i, w in enumerate(words)]) > 0.9
     assert langid.results(docs.where("false")).count() == 0
     assert {r.lang_pred for r in langid.results(docs.withColumn("lang", docs.lang.substr(9, 1)).selectExpr("doc_id", "text", "nullif(lang, '') lang")).limit(5).collect()} == {"und"}
+
+
+def plain_predict(model, text):
+    """Word by word: features summed one by one, one pass of forward-backward, the mean over words with letters."""
+    words = [langid.bare(w) for w in text.split()]
+    if not any(words):
+        return "und", 0.0
+    size = len(model.labels)
+    scores = [np.sum([model.weights[model.index[f]] for f in langid.features(w) if f in model.index] or [np.zeros(size)], axis=0) if w else np.zeros(size) for w in words]
+    emit = np.array([np.exp(s - s.max()) + 1e-12 for s in scores])
+    each = chain(emit, np.exp(model.transitions - model.transitions.max()))
+    mean = np.mean([p for p, w in zip(each, words, strict=True) if w], axis=0)
+    return model.labels[int(mean.argmax())], float(mean.max())
+
+
+def test_predictions_equal_a_plain_version(spark, docs):
+    model = langid.fit(docs)
+    rows = docs.orderBy("doc_id").limit(60).collect()
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, model).collect()}
+    for r in rows:
+        lang, score = plain_predict(model, r.text)
+        assert got[r.doc_id][0] == lang and abs(got[r.doc_id][1] - score) < 1e-6
+
+
+def test_texts_beyond_the_blocks_memory_go_word_by_word(docs, monkeypatch):
+    model = langid.fit(docs)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(20).collect()] + ["", "12 3"]
+    blocks = list(langid.Tagger(model).languages(texts))
+    monkeypatch.setattr(langid, "MOST_CARRIED", 0)
+    for (a, x), (b, y) in zip(blocks, langid.Tagger(model).languages(texts), strict=True):
+        assert a == b and abs(x - y) < 1e-6
+
+
+def test_many_languages_repeated_rows_and_clashing_columns(spark):
+    import random
+
+    rng = random.Random(2)
+    made = []
+    for k in range(80):
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyz", 9)
+        for i in range(6):
+            made.append((100 * k + i, " ".join("".join(rng.choices(letters, k=6)) for _ in range(60)), f"l{k:02}", "x", 1.5))
+    rows = spark.createDataFrame(made + made[:50], "doc_id long, text string, lang string, tag string, _tag double")
+    model = langid.fit(rows)
+    assert len(model.labels) == 80
+    out = langid.predict(rows, model)
+    assert out.columns == [*rows.columns, "lang_pred", "score"] and out.where("tag = 'x' and _tag = 1.5").count() == len(made) + 50
+    assert np.mean([r.lang == r.lang_pred for r in out.collect()]) > 0.8
