@@ -11,8 +11,8 @@ dealt to tiles of bounded size, pairs of tiles count all overlaps of the full se
 one representative for each linked member. Connected components follow.
 
 Exactness: links are confirmed on full sets of 64-bit hashes. Sets of at most MOST_EXACT shingles lose no link;
-for larger ones the listing and the estimate leave MARGIN standard deviations, so that a pair just at the
-threshold is missed about three times in 100,000, and closer pairs less.
+for larger ones the listing and the estimate leave MARGIN standard deviations, so that of 100 million pairs just at the
+threshold about two are missed (the binomial tail of K draws), and of closer pairs fewer.
 
 Words are lower-cased for A-Z and end at ASCII white space. Texts of fewer words than five have their whole
 sequence as one shingle; null texts and texts without words have none and link with nothing. Rows of a null
@@ -29,20 +29,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import components, least_reached, written
+from fathom.llm.common import bound_batches, components, least_reached, may_hold, written
 
 #: Words of a shingle, and the least similarity of a link in hundredths.
 WORDS, PERCENT = 5, 85
 #: Values of a sketch, and the standard deviations left for chance.
-K, MARGIN = 96, 4.0
+K, MARGIN = 96, 6.0
 #: Sets up to this size have a partner whose sketch is whole too.
 MOST_EXACT = K * PERCENT // 100
-#: Members of a list that gives pairs; members of a tile on average, and shared values multiplied at once.
-SHORT, TILE, COLUMNS = 48, 192, 8192
-#: Bits of the filter of documents whose sets are needed, of a fixed size.
-FILTER_BITS = 1 << 23
-#: Words remembered in a Python worker.
-REMEMBERED = 150_000
+#: Members of a list that gives pairs; members and hashes of a tile on average; shared values multiplied at once.
+SHORT, TILE, TILE_HASHES, COLUMNS = 48, 192, 400_000, 8192
+#: Words remembered in a task.
+REMEMBERED = 100_000
 
 
 class Shingler:
@@ -169,8 +167,8 @@ def _connected(sets: list[np.ndarray], ids: np.ndarray, percent: int) -> tuple[n
 
 
 def compare_tiles(lists: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(rep, root) of the linked members of long lists; lists has value, rep and the list's size m."""
-    placed = lists.withColumn("tiles", F.ceil(F.col("m") / TILE).cast("int"))
+    """(rep, root) of the linked members of long lists; lists has value, rep, the list's size m and its hashes in all."""
+    placed = lists.withColumn("tiles", F.ceil(F.greatest(F.col("m") / TILE, F.col("hashes") / TILE_HASHES)).cast("int"))
     placed = placed.withColumn("tile", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("tiles")).cast("int"))
     tiled = placed.join(sets, "rep").groupBy("value", "tiles", "tile").agg(F.collect_list(F.struct("rep", "members")).alias("rows"))
     tiled, _ = written(tiled)
@@ -197,33 +195,18 @@ def compare_tiles(lists: DataFrame, sets: DataFrame, percent: int = PERCENT) ->
 
 def needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents of these ids; a filter of fixed size keeps most others out of the shuffle."""
-    place = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))
-    buckets = ids.select(place.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    rows = {r.bucket: np.frombuffer(bytes(r.bits), np.uint8) for r in buckets.collect()}  # at most FILTER_BITS bits
-    shared = docs.sparkSession.sparkContext.broadcast(rows)
-
-    @F.pandas_udf("boolean")
-    def may(bucket: pd.Series, position: pd.Series) -> pd.Series:
-        found = np.zeros(len(bucket), bool)
-        for b in bucket.unique():
-            if b in shared.value:
-                on = (bucket == b).to_numpy()
-                p = position.to_numpy()[on]
-                found[on] = shared.value[b][p // 8] >> (p % 8) & 1 > 0
-        return pd.Series(found)
-
-    bit = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS))
-    some = docs.select("doc_id", "text").where("doc_id is not null").where(may(F.bitmap_bucket_number(bit), F.bitmap_bit_position(bit)))
-    return some.join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+    keys = ids.select(F.xxhash64("rep").alias("place"))
+    some = docs.select("doc_id", "text", F.xxhash64(F.col("doc_id").cast("long")).alias("place")).where("doc_id is not null")
+    return may_hold(some, keys, "place").drop("place").join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
 
 
 def links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(u, v): confirmed links between classes, enough of them to connect what is linked."""
     index, _ = written(inverted_lists(reps, percent))
-    sizes = index.groupBy("value").agg(F.count("*").alias("m")).where("m > 1")
+    sizes = index.groupBy("value").agg(F.count("*").alias("m"), F.sum("n").alias("hashes")).where("m > 1")
     index = index.join(sizes, "value")
     pairs, _ = written(short_pairs(index.where(F.col("m") <= SHORT), reps, percent))
-    long = index.where(F.col("m") > SHORT).select("value", "rep", "m")
+    long = index.where(F.col("m") > SHORT).select("value", "rep", "m", "hashes")
     ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(long.select("rep")).distinct()
     sets, _ = written(full_sets(needed(docs, ids)).dropDuplicates())
     confirmed = pairs
@@ -236,6 +219,7 @@ def links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame
 
 def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
+    bound_batches(docs.sparkSession)
     profile, _ = written(profiles(docs))
     classes = profile.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
     first = profile.select("doc_id", "key", "n", "sketch").join(classes.select(F.col("rep").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi")

@@ -58,3 +58,13 @@ def test_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert sorted(map(tuple, md.dedup(docs).collect()), key=str) == brute(rows)
+
+
+def test_long_texts_in_tiles_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(md, "SHORT", 4)
+    monkeypatch.setattr(md, "TILE_HASHES", 60_000)
+    rng = random.Random(16)
+    base = words(rng, 30_000)
+    rows = [(i, " ".join(edited(rng, base, 40 * i))) for i in range(14)] + [(20, " ".join(words(rng, 20_000))), (21, " ".join(base)), (None, " ".join(base))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, md.dedup(docs).collect()), key=str) == brute(rows)
