@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathom.llm.common import bound_batches
+
 #: The kinds, as listed.
 KINDS = ("email", "ip", "card", "phone")
 #: The fixed patterns of the base kinds, in forms that need linear time; the first is the part after the sign.
@@ -83,7 +85,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 #: Stretches of characters that an entity can consist of; they hold single spaces, and a digit or an @ sign.
 STRETCH = re.compile(r"[0-9+(@](?:\x20?[0-9().@+-])*")
-WORDY = re.compile(r"[^\s@]{0,64}@[^\s@]{1,255}")
+AFTER = re.compile(r"[^\s@]+")
 SPLIT = re.compile(r"[0-9]+|[^0-9]")
 
 
@@ -104,15 +106,19 @@ def candidates(text: str) -> list[tuple[int, int]]:
     A span begins with a digit, + or ( and ends with a digit; spans of letters around an @ sign are whole words.
     """
     found = []
-    if "@" in text:
-        for m in WORDY.finditer(text):
-            start, end = m.start(), m.end()
+    done, at = 0, text.find("@")
+    while at >= 0:
+        before, m = text[done:at], AFTER.match(text, at + 1)
+        if m:
+            start, end = at - (0 if not before or before[-1].isspace() else len(before.split()[-1])), m.end()
             while end > start and not text[end - 1].isalnum():
                 end -= 1
             while start < end and not text[start].isalnum():
                 start += 1
             if "@" in text[start:end]:
                 found.append((start, end))
+        done = m.end() if m else at + 1
+        at = text.find("@", done)
     for m in STRETCH.finditer(text):
         if sum("0" <= c <= "9" for c in m[0]) < FEWEST_DIGITS:
             continue
@@ -369,6 +375,7 @@ DIGEST = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string
 
 def digests(docs: DataFrame, model: Field | None = None) -> DataFrame:
     """doc_id, the counts and digest of the base spans, and all spans."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model or train())  # bounded by the training sentences
 
     @F.pandas_udf(DIGEST)
@@ -397,6 +404,7 @@ def redacted(text: str, model: Field) -> str:
 
 def redact(spark: SparkSession, docs: DataFrame, model: Field | None = None) -> DataFrame:
     """The documents with personal data replaced in their texts; null texts stay null, all other columns stay."""
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model or train())
 
     @F.pandas_udf("string")

@@ -92,3 +92,34 @@ def test_query_on_odd_rows(spark, model):
     out = {r.doc_id: r.text for r in pii.redact(spark, docs, model).collect()}
     assert out[2] == "<EMAIL>, <PHONE>, <CARD>, <IP>" and out[0] is None and out[3] == "x"
     assert pii.digests(docs.where("false"), model).count() == 0
+
+
+def test_held_out_sentences(model):
+    """Precision and recall of whole spans on sentences that training has not seen, and on forms that it never makes."""
+    import random
+
+    rng = random.Random(77)
+    word = lambda: "".join(rng.choices(["sol", "mar", "ti", "ken", "lo", "ra", "ü"], k=rng.randint(1, 4)))
+    right = found = there = 0
+    for _ in range(400):
+        text, gold = "", set()
+        for _ in range(rng.randint(1, 3)):
+            text += " ".join(word() for _ in range(rng.randint(1, 4))) + rng.choice([" ", ": ", " ("])
+            if rng.random() < 0.5:
+                kind, entity = pii._entity(rng, word)
+                gold.add((kind, len(text), len(text) + len(entity)))
+            else:
+                entity = pii._other(rng, word)
+            text += entity + rng.choice([" ", ". ", ", ", "\n", ") "])
+        base, added = pii.all_spans(text, model)
+        right += len(gold & set(base + added))
+        found += len(base + added)
+        there += len(gold)
+    print("precision", right / found, "recall", right / there)
+    assert right / there > 0.93 and right / found > 0.85
+
+
+def test_words_around_a_sign_of_any_length():
+    long = "x" * 5000 + "@" + "y" * 5000 + ".com"
+    assert (0, len(long)) in pii.candidates(long)
+    assert pii.candidates("@ " * 200_000 + "a@b") == [(400_000, 400_003)]
