@@ -22,9 +22,11 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathom.llm.common import bound_batches
+
 #: No pair, or a pair without a rank.
 NO_PAIR = 1 << 62
-#: Distinct pieces remembered in a Python worker; beyond it the memory starts anew, which changes no result.
+#: Distinct pieces remembered in a task; beyond it the memory starts anew, which changes no result.
 REMEMBERED_PIECES = 100_000
 #: The length beyond which a piece merges by itself, in bytes; a power of two.
 WIDEST = 64
@@ -166,7 +168,7 @@ def merge_pieces(pieces: list[bytes], pairs: PairRanks, width: int) -> list[list
 
 
 class Codec:
-    """Encodes texts to ids and ids to bytes; made once in each Python worker."""
+    """Encodes texts to ids and ids to bytes; made anew in each task."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.pieces = ranks, regex.compile(pattern)
@@ -213,6 +215,7 @@ class Codec:
 
 
 def _mapped(spark, path: str, pattern: str, returns: str, rows: Callable[[Codec, pd.Series], Iterable]) -> Callable[[Column], Column]:
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(load_ranks(path))  # under 1 MB, fixed by the vocabulary file
 
     @F.pandas_udf(returns)
@@ -242,6 +245,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     Encodes and decodes in one pass, so that ids and bytes never leave the task.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
 
     @F.pandas_udf(DIGEST)

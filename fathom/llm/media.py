@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathom.llm.common import bound_batches
+
 #: Fixed values of the format: the order in which a block's coefficients are stored.
 ZIGZAG = np.array(
     [0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5, 12, 19, 26, 33, 40, 48, 41, 34, 27, 20, 13, 6, 7, 14, 21, 28,
@@ -323,8 +325,10 @@ class Picture:
                 more = every[at : at + run * width].reshape(run, width).astype(np.int16) * step
                 part += np.where(part < 0, -more, more)
                 at, done = at + run * width, done + run
-            if done:
+            if done == n:
                 return
+            # Whatever else comes is read bit by bit, from here on.
+            data, rows = np.packbits(every[at:]).tobytes(), range(done, n)
         bits, run = _Bits(data), 0
 
         def correct(row: int, k: int) -> None:
@@ -470,5 +474,6 @@ def _digested(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id with the digests of its text's media form; the files and tensors stay in their task."""
+    bound_batches(docs.sparkSession)
     digested = F.pandas_udf(_digested, DIGEST)
     return docs.select("doc_id", digested("text").alias("d")).select("doc_id", "d.*")

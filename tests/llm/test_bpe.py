@@ -51,3 +51,11 @@ def test_columns(spark):
     encode, decode = (f(spark, PATH, public_tokenizers.PATTERN) for f in (bpe.encode_column, bpe.decode_column))
     out = docs.select("doc_id", decode(encode("text")).alias("b")).orderBy("doc_id").collect()
     assert [bytes(r.b) for r in out] == [b"one two", b""]
+
+
+def test_long_texts_and_a_null_key(spark, peer):
+    rows = [(1, "the quick brown fox " * 30_000), (2, "x" * 100_000), (None, "été " * 50_000), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_tokens) for r in bpe.digests(docs, PATH, public_tokenizers.PATTERN).collect()), key=str)
+    want = sorted(((i, len(peer.encode_ordinary(t or "")) if i != 2 else len(bpe.merge_piece(b"x" * 100_000, bpe.load_ranks(PATH)))) for i, t in rows), key=str)
+    assert got == want

@@ -72,3 +72,36 @@ def test_columns(spark):
     assert all(len(r.rgb) == 3 * r.height * r.width for r in rows)
     empty = files.selectExpr("doc_id", "cast(null as binary) file").select(media.tensors("file").alias("t")).select("t.*").collect()
     assert all(r.rgb is None for r in empty)
+
+
+@pytest.mark.parametrize(("width", "height", "kind"), [(61, 45, 1), (128, 96, 1), (33, 70, 10)])
+def test_reads_files_of_another_encoder(spark, width, height, kind):
+    """Progressive files that the JVM's own encoder writes: several scans, refinements, runs, cut-off blocks, grey too."""
+    jvm = spark._jvm
+    image = jvm.java.awt.image.BufferedImage(width, height, kind)
+    for y in range(height):
+        for x in range(width):
+            r, g, b = (x * 3) % 256, (y * 4) % 256, (128 + 90 * (x // 16 % 2) - 60 * (y // 16 % 2)) % 256
+            image.setRGB(x, y, (255 << 24 | r << 16 | g << 8 | b) - (1 << 32))
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("jpeg").next()
+    settings = writer.getDefaultWriteParam()
+    settings.setProgressiveMode(1)  # the default progression
+    settings.setCompressionMode(2)  # a quality of ours
+    settings.setCompressionQuality(0.9)
+    sink = jvm.java.io.ByteArrayOutputStream()
+    stream = jvm.javax.imageio.ImageIO.createImageOutputStream(sink)
+    writer.setOutput(stream)
+    writer.write(None, jvm.javax.imageio.IIOImage(image, None, None), settings)
+    stream.close()
+    file = bytes(sink.toByteArray())
+    assert b"\xff\xc2" in file and file.count(b"\xff\xda") >= 6
+    back = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytearray(file)))
+    if kind == 1:
+        want = np.array([[back.getRGB(x, y) & 0xFFFFFF for x in range(width)] for y in range(height)])
+        want = np.stack([want >> 16, want >> 8 & 255, want & 255]).astype(int)
+    else:
+        want = np.array([[[back.getRaster().getSample(x, y, 0) for x in range(width)] for y in range(height)]] * 3)
+    got = media.Picture(file).rgb().astype(int)
+    assert got.shape == want.shape
+    # The JVM's reader smooths chroma between samples, so pixels at the edges of colours differ; grey does not.
+    assert np.abs(got - want).mean() < (6 if kind == 1 else 0.6) and np.abs(got.sum((1, 2)) - want.sum((1, 2))).max() < 0.5 * width * height
