@@ -24,11 +24,22 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters or of no learned language; the prediction fills in null languages."""
-    columns = docs.columns
-    tagged = langid.predict(docs.withColumnsRenamed({c: f"own_{c}" for c in ("lang_pred", "score") if c in columns}), langid.fit(docs))
+    """Drops documents without letters or of no learned language; the prediction fills in null languages.
+
+    Where no language could be learned, only documents without letters go.
+    """
+    columns, model = docs.columns, langid.fit(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    hidden = {}  # columns of the input that are named as the prediction's
+    for c in ("lang_pred", "score"):
+        if c in columns:
+            hidden[c] = c + "_"
+            while hidden[c] in columns:
+                hidden[c] += "_"
+    tagged = langid.predict(docs.withColumnsRenamed(hidden), model)
     kept = tagged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).withColumn("lang", F.coalesce("lang", "lang_pred"))
-    return kept.drop("lang_pred", "score").withColumnsRenamed({f"own_{c}": c for c in ("lang_pred", "score")}).select(columns)
+    return kept.drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in hidden.items()}).select(columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
