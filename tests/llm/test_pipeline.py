@@ -57,3 +57,23 @@ def test_empty_table(spark, tmp_path):
     table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("false")
     table.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_and_repeated_rows(spark, tmp_path):
+    extra = ["_tag", "tag", "score", "own_score", "lang_pred", "_gone", "_d", "row", "key", "rep"]
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    wide = table.select("*", *(table.doc_id.cast("string").alias(c) for c in extra))
+    wide = wide.union(wide.where("doc_id < 20"))
+    wide.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == wide.columns, name
+        assert docs.where(" or ".join(f"{c} <> cast(doc_id as string)" for c in extra)).count() == 0, name
+    assert docs.where("doc_id < 20").groupBy("doc_id").count().where("count <> 2").count() == 0
+    assert corpus_pipeline.pack(spark, docs, str(tmp_path)).count() >= docs.count()
+
+
+def test_without_languages_only_texts_without_letters_go(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "some words", None, "s", 10), (2, "12 34", None, "s", 5), (3, None, None, "s", None)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in corpus_pipeline.language_id(spark, docs, str(tmp_path)).collect()] == [1]
