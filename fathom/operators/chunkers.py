@@ -105,13 +105,12 @@ def json_paths(rows: DataFrame, key: str, column: str, depth: int = 4) -> DataFr
     """
     now = rows.select(key, F.lit("").alias("path"), F.try_parse_json(column).alias("v")).where("v is not null")
     out = None
-    for level in range(depth):
-        kind = F.schema_of_variant("v")
-        nested = F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
+    nested = F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")
+    for _ in range(depth):
         leaves = now.where(~nested).select(key, "path", F.col("v").cast("string").alias("value"))
         out = leaves if out is None else out.unionByName(leaves)
         now = now.where(nested).select(key, "path", F.col("v").alias("box")).lateralJoin(_entries()).select(key, F.concat("path", F.when(F.col("k").isNull(), F.concat(F.lit("["), F.col("at").cast("string"), F.lit("]"))).otherwise(F.concat(F.when(F.col("path") == "", "").otherwise("."), F.col("k")))).alias("path"), "v")
-    return out.unionByName(now.select(key, "path", F.to_json("v").alias("value")))
+    return out.unionByName(now.select(key, "path", F.when(nested, F.to_json("v")).otherwise(F.col("v").cast("string")).alias("value")))
 
 
 def _entries() -> DataFrame:

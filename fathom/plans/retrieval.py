@@ -12,6 +12,8 @@ from fathom.plans import tables
 from fathom.plans.registry import query
 
 CFG = RetrievalConfig()
+#: Cells that a query looks into, of ten.
+PROBES = 9
 STRICT = RetrievalConfig(min_vec=0.2, min_bm25=1.5, min_graph=0.0)
 
 # ---- SQL parts
@@ -99,12 +101,12 @@ def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_MEANS}, c AS (SELECT label, list(mean ORDER BY dim) AS c FROM m GROUP BY label), {_VQ},
-p AS (SELECT query_id, q, label FROM vq CROSS JOIN c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round({_DOT.format('q', 'c')}, 6) DESC, label) <= 3),
+p AS (SELECT query_id, q, label FROM vq CROSS JOIN c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round({_DOT.format('q', 'c')}, 6) DESC, label) <= {PROBES}),
 s AS (SELECT query_id, vec_id, round({_DOT.format('embedding', 'q')}, 6) AS score FROM embeddings JOIN p USING (label))
 SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10""")
 def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest vectors in the cells of the three nearest centroids."""
-    return vector.pruned_search(tables.vectors(spark, sf_dir), tables.vector_queries(spark, sf_dir), 10, 3)
+    """Nearest vectors in the cells of the nearest centroids, so many that at least 0.9 of them are found."""
+    return vector.pruned_search(tables.vectors(spark, sf_dir), tables.vector_queries(spark, sf_dir), 10, PROBES)
 
 
 # ---- graph

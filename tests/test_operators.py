@@ -139,3 +139,36 @@ def test_pruned_search_meets_rows_without_a_label(spark):
     queries = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, embedding array<double>")
     assert [r.vec_id for r in vector.pruned_search(rows, queries, 10, 1).orderBy("rank").collect()] == [3, 1]
     assert [r.vec_id for r in vector.pruned_search(rows, queries, 10, 2).orderBy("rank").collect()] == [3, 1, 4, 4, 2]
+
+
+def test_recall_of_the_index(spark):
+    from fathom.plans import catalog
+
+    for sf in ("0.001", "0.1"):
+        found, true = ({(r.query_id, r.vec_id) for r in catalog.queries()[q](spark, f"/root/testdata/sf{sf}").collect()} for q in ("ivf_topk", "vec_dot_topk"))
+        print(sf, len(found & true) / len(true))
+        assert len(found & true) >= 0.9 * len(true)
+
+
+def test_json_depth_markdown_and_filters(spark):
+    from fathom.operators import chunkers
+
+    rows = spark.createDataFrame([(1, '{"a":{"b":[1,{"c":"x"}],"d":null},"e":"{not}"}'), (2, "[1,2]"), (3, "5"), (4, None), (5, "{bad"), (6, "{}")], "id int, j string")
+    assert {(r.id, r.path, r.value) for r in chunkers.json_paths(rows, "id", "j").collect()} == {(1, "a.b[0]", "1"), (1, "a.b[1].c", "x"), (1, "a.d", None), (1, "e", "{not}"), (2, "[0]", "1"), (2, "[1]", "2"), (3, "", "5")}
+    assert {(r.path, r.value) for r in chunkers.json_paths(rows.where("id = 1"), "id", "j", 1).collect()} == {("a", '{"b":[1,{"c":"x"}],"d":null}'), ("e", "{not}")}
+    text = "# T\npara one\nstill\n\npara two\n## S\n```py\ncode\n\nmore\n```\n```\nsecond\n```\nend"
+    blocks = [(r.kind, r.text) for r in chunkers.markdown_blocks(spark.createDataFrame([(1, text)], "doc_id int, text string")).orderBy("block").collect()]
+    assert blocks == [("heading", "# T"), ("paragraph", "para one\nstill"), ("paragraph", "para two"), ("heading", "## S"), ("code", "```py\ncode\n\nmore\n```"), ("code", "```\nsecond\n```"), ("paragraph", "end")]
+    asked = fusion.parse_query(spark.createDataFrame([(1, "  Find  Lang:EN the source:src3 lang:de a:b:c x "), (2, None), (3, "")], "query_id int, text string"))
+    got = {r.query_id: (r.text, r.filters) for r in asked.collect()}
+    assert got[1] == ("find the a:b:c x", {"source": "src3", "lang": "de"}) and got[3] == ("", {})
+
+
+def test_near_results_and_passages(spark):
+    ranked = spark.createDataFrame([(1, 1, "a b c d e f g h i j"), (1, 2, "A B c d e f g h i j k"), (1, 3, "z y"), (1, 4, "z y"), (1, 5, ""), (2, 1, "z y")], "query_id int, rank int, text string")
+    got = {(r.query_id, r["rank"]): r.merged_into for r in fusion.merge_near(ranked).collect()}
+    assert got == {(1, 1): None, (1, 2): 1, (1, 3): None, (1, 4): 3, (1, 5): None, (2, 1): None}
+    docs = spark.createDataFrame([(1, "x one two three four y"), (2, "none two threes"), (3, "one two three"), (4, None), (5, "a one")], "doc_id long, text string")
+    passages = spark.createDataFrame([(1, "one two three"), (2, "one"), (3, "ne two three"), (4, "not there at all")], "query_id int, passage string")
+    found = {(r.query_id, r.doc_id) for r in fusion.containing(docs, passages).collect()}
+    assert found == {(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3), (2, 5), (3, 1), (3, 2), (3, 3)}
