@@ -21,12 +21,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import components, least_reached, written
+from fathom.llm.common import bound_batches, components, least_reached, written
 
 #: Links have at least this cosine.
 THRESHOLD = 0.93
 #: Vectors of a tile, dimensions summed at a step, and leading coordinates of a tile's box.
-TILE, STEP, BOX = 512, 16, 8
+TILE, STEP, BOX = 1024, 16, 8
+#: Tiles of a label whose boxes are compared in one group.
+BOXES = 256
 #: How near the threshold a rotated product must be to be computed again from the vectors as given.
 NEAR = 1e-9
 TILES = "tile string, label string, dim int, n long, low array<double>, high array<double>, ids binary, vectors binary"
@@ -84,6 +86,8 @@ def tiles(vectors: DataFrame, turns: dict[int, np.ndarray]) -> DataFrame:
     def tile(held: list, key: tuple[str, int], count: int) -> pd.DataFrame:
         rows = np.stack([x[1] for x in held])
         box = _units(rows) @ shared.value[key[1]][:, :BOX]
+        narrow = rows.astype(np.float32)  # without loss where the vectors were given so
+        rows = narrow if (narrow == rows).all() else rows
         ids = np.array([x[0] for x in held], np.int64).tobytes()
         return pd.DataFrame({"tile": [f"{held[0][2]:08d}-{count:08d}"], "label": [key[0]], "dim": [key[1]], "n": [len(held)], "low": [box.min(0)], "high": [box.max(0)], "ids": [ids], "vectors": [rows.tobytes()]})
 
@@ -95,10 +99,14 @@ def tiles(vectors: DataFrame, turns: dict[int, np.ndarray]) -> DataFrame:
 def tile_pairs(tiled: DataFrame, threshold: float) -> DataFrame:
     """Pairs of tile names whose boxes come near enough for a link; only names and boxes are joined."""
     most = 2 - 2 * threshold + 1e-6
-    a, b = (tiled.select("label", "dim", F.col("tile").alias(x), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}")) for x in "ab")
+    # The boxes of a large label are compared in several groups: each box of a is in one, each of b in all.
+    groups = tiled.groupBy("label", "dim").agg(F.ceil(F.count("*") / BOXES).cast("int").alias("groups"))
+    boxes = tiled.select("label", "dim", "tile", "low", "high").join(groups, ["label", "dim"])
+    a = boxes.select("label", "dim", F.pmod(F.xxhash64("tile"), F.col("groups")).cast("int").alias("group"), F.col("tile").alias("a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"))
+    b = boxes.select("label", "dim", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.col("tile").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
     away = F.zip_with(F.zip_with("low_b", "high_a", lambda x, y: x - y), F.zip_with("low_a", "high_b", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
     squares = F.aggregate(away, F.lit(0.0), lambda total, x: total + x * x)
-    return a.join(b, ["label", "dim"]).where((F.col("a") <= F.col("b")) & (squares <= most)).select("a", "b", "dim")
+    return a.join(b, ["label", "dim", "group"]).where((F.col("a") <= F.col("b")) & (squares <= most)).select("a", "b", "dim")
 
 
 def linked(a: np.ndarray, b: np.ndarray, turn: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +130,8 @@ def linked(a: np.ndarray, b: np.ndarray, turn: np.ndarray, threshold: float) ->
         h = to
     near = np.abs(products - threshold) < NEAR
     if near.any():
-        x, y = a[i[near]], b[j[near]]
+        # Scaled by powers of two, which rounds nothing and keeps squares finite.
+        x, y = (np.ldexp(z, -np.frexp(np.abs(z).max(1, keepdims=True))[1]) for z in (a[i[near]], b[j[near]]))
         cosine = np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
         products[near] = np.where(cosine >= threshold, 1.0, -1.0)
     keep = products >= threshold
@@ -137,7 +146,7 @@ def compare(pairs: DataFrame, tiled: DataFrame, turns: dict[int, np.ndarray], th
         for batch in batches:
             for row in batch.itertuples(index=False):
                 ids_a, ids_b = np.frombuffer(row.ids_a, np.int64), np.frombuffer(row.ids_b, np.int64)
-                a, b = (np.frombuffer(x, np.float64).reshape(-1, row.dim) for x in (row.vectors_a, row.vectors_b))
+                a, b = (np.frombuffer(x, np.float32 if len(x) < len(ids) * row.dim * 8 else np.float64).reshape(-1, row.dim).astype(np.float64) for x, ids in ((row.vectors_a, ids_a), (row.vectors_b, ids_b)))
                 i, j = linked(a, b, shared.value[row.dim], threshold)
                 keep = ids_a[i] != ids_b[j]
                 if row.a == row.b:
@@ -153,6 +162,7 @@ def compare(pairs: DataFrame, tiled: DataFrame, turns: dict[int, np.ndarray], th
 
 def dedup(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector."""
+    bound_batches(vectors.sparkSession)
     able = usable(vectors)
     turns = directions(able)
     tiled, _ = written(tiles(able, turns))
