@@ -69,3 +69,15 @@ def test_equals_sql_on_the_tables(spark):
     want = duckdb.sql(scan.oracle()).fetchall()
     got = scan.digests(spark.read.parquet(path)).collect()
     assert sorted(want) == sorted(map(tuple, got))
+
+
+def test_a_long_text_of_many_matches_takes_seconds(spark):
+    import time
+
+    text = " ".join(f"{i:020x}" for i in range(50_000)) + " token=abcdefghijklmnop" * 2000
+    docs = spark.createDataFrame([(1, text), (2, "0" * 16)], "doc_id long, text string")
+    began = time.monotonic()
+    got = {r.doc_id: r for r in scan.digests(docs).collect()}
+    assert time.monotonic() - began < 60
+    spans = brute(text)
+    assert got[1].spans == joined(spans) and got[1].n_hex == 50_000 and got[1].n_assign == 2000 and got[2].n_hex == 1
