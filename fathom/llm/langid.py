@@ -31,6 +31,8 @@ from fathom.llm.common import bound_batches
 #: The bounds of the training sample: documents of each language, characters of a document, runs of words of all
 #: languages together (fewer beyond 16 languages, so that training takes no more memory).
 DOCS_PER_LABEL, CHARS_PER_DOC, RUNS = 120, 20_000, 12_000
+#: Parts of a language that are ranked by themselves first.
+SALTS = 64
 #: Words of a spliced run, and of a training sequence.
 RUN, SEQUENCE = 24, 96
 #: A feature or a lexicon word must occur in so many distinct words or so often.
@@ -91,8 +93,11 @@ def sample(docs: DataFrame, per_label: int = DOCS_PER_LABEL) -> list[tuple[str,
     """(text, language) of the training sample; only ids and languages are ranked, texts are read for the chosen."""
     usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != "und"))
     spread = F.xxhash64(F.col("doc_id").cast("string"))
-    each = usable.select("doc_id", "lang").distinct()
-    ranked = each.withColumn("at", F.row_number().over(W.partitionBy("lang").orderBy(spread, "doc_id"))).where(F.col("at") <= per_label)
+    each = usable.select("doc_id", "lang", F.pmod(spread, F.lit(SALTS)).alias("salt")).distinct()
+    # First within parts of a language, so that no task ranks what all partitions hold of one.
+    for parts in (("lang", "salt"), ("lang",)):
+        each = each.withColumn("at", F.row_number().over(W.partitionBy(*parts).orderBy(spread, "doc_id"))).where(F.col("at") <= per_label)
+    ranked = each
     order = {(r.doc_id, r.lang): (r.at, r.lang) for r in ranked.collect()}
     if not order:
         return []
