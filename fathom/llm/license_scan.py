@@ -27,6 +27,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathom.functions.text import let
+
 #: The wording of common licence notices, by family; fixed values.
 TEMPLATES = {
     "agpl": (
@@ -191,11 +193,6 @@ def train(examples: int = EXAMPLES, steps: int = STEPS) -> Model:
     return Model(classes, [round(float(z), 6) for z in w[-1]], rows, temperature)
 
 
-def _let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value) with the value worked out once, however often f names it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def _runs(words: Column, n: int) -> Column:
     """Runs of n words."""
     size = F.greatest(F.size(words) - n + 1, F.lit(0))
@@ -235,7 +232,7 @@ def _classified(model: Model) -> Callable[[Column], Column]:
     def label(words: Column) -> Column:
         found = F.array_distinct(F.concat(F.filter(words, known), F.filter(_runs(words, 2), known)))
         summed = lambda fs: F.aggregate(fs, bias, lambda total, f: F.zip_with(total, row(f), lambda x, y: x + y))
-        return _let(found, lambda fs: F.when(F.size(fs) > 0, _let(_let(summed(fs), best), lambda c: F.nullif(c, F.lit(NEITHER)))))
+        return let(found, lambda fs: F.when(F.size(fs) > 0, let(let(summed(fs), best), lambda c: F.nullif(c, F.lit(NEITHER)))))
 
     return label
 
@@ -247,7 +244,7 @@ def _confirmed(words: Column, label: Column) -> Column:
     templates = _literal(cut, "map<string,array<struct<t:array<string>,n:int>>>")
     mine = F.array_distinct(F.when(F.size(words) < 3, F.array(F.concat_ws(" ", words))).otherwise(_runs(words, 3)))
     similar = lambda m, x: F.size(F.array_intersect(m, x["t"])) >= CONFIRM * F.least(F.size(m), x["n"])
-    sure = _let(mine, lambda m: F.exists(F.coalesce(F.try_element_at(templates, label), F.array()), lambda x: similar(m, x)))
+    sure = let(mine, lambda m: F.exists(F.coalesce(F.try_element_at(templates, label), F.array()), lambda x: similar(m, x)))
     return F.when(sure, label).otherwise(F.lit(UNKNOWN))
 
 
@@ -255,8 +252,8 @@ def hits(text: str, model: Model) -> Column:
     """array<struct<pos, label>>: the paragraphs of a text column that are of a licence family or of the unknown class."""
     classify = _classified(model)
     words = lambda line: F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0))
-    named = lambda w: _let(classify(w), lambda label: F.when(label.isNotNull(), _confirmed(w, label)))
-    each = F.transform(F.split(text, "\n", -1), lambda line, pos: F.struct(pos.alias("pos"), _let(words(line), named).alias("label")))
+    named = lambda w: let(classify(w), lambda label: F.when(label.isNotNull(), _confirmed(w, label)))
+    each = F.transform(F.split(text, "\n", -1), lambda line, pos: F.struct(pos.alias("pos"), let(words(line), named).alias("label")))
     return F.coalesce(F.filter(each, lambda h: h["label"].isNotNull()), F.array().cast("array<struct<pos:int,label:string>>"))
 
 

@@ -25,6 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathom.functions.text import let
 from fathom.llm.common import components, let_go, may_be_among, may_hold, removed, written
 
 #: Characters of a shingle.
@@ -51,16 +52,11 @@ LAST = (1 << 63) - 1
 SPACE = " \t\x0b\f\r"
 
 
-def _once(value: Column, f) -> Column:
-    """f(value) with the value worked out once, however often f names it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def _hashes(norm: Column) -> Column:
     """Hashes of a text's runs of SHINGLE characters, one for each position; a shorter text is one run."""
     # Four bytes a character, so that a position is found without a walk through the text.
     each = lambda t: F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.length(t) / 4).cast("int") - SHINGLE, F.lit(0))), lambda i: F.xxhash64(F.substring(t, i * 4 + 1, F.lit(4 * SHINGLE))))
-    return _once(F.encode(norm, "UTF-32"), each)
+    return let(F.encode(norm, "UTF-32"), each)
 
 
 def shingles(norm: str) -> Column:
@@ -177,7 +173,7 @@ def confirmed(pairs: DataFrame, norms: DataFrame) -> DataFrame:
     for x in "uv":
         pairs = pairs.join(norms.toDF(x, f"norm_{x}"), x)
     both = F.struct(_hashes(F.col("norm_u")).alias("u"), _hashes(F.col("norm_v")).alias("v"))
-    return pairs.where(_once(both, lambda s: _similar(s["u"], s["v"]))).select("u", "v")
+    return pairs.where(let(both, lambda s: _similar(s["u"], s["v"]))).select("u", "v")
 
 
 def links(members: DataFrame, norms: DataFrame) -> DataFrame:

@@ -13,13 +13,13 @@ from __future__ import annotations
 
 import re._constants as sre
 import re._parser as parser
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathom.functions.text import let
 from fathom.llm.common import may_be_among, written
 
 
@@ -160,11 +160,6 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return grouped.select("doc_id", kinds.alias("may")).where(F.size("may") > 0)
 
 
-def _let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value) with the value worked out once, however often f names it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def _totals(steps: Column, first: Column) -> Column:
     """first and its running totals over an array; meant for about a square root of a text's matches."""
     return F.aggregate(steps, F.array(first), lambda done, step: F.array_append(done, F.element_at(done, -1) + step))
@@ -183,7 +178,7 @@ def _running(steps: Column) -> Column:
         return F.flatten(F.zip_with(runs, F.slice(before, F.lit(1), F.size(runs)), lambda run, start: F.transform(run, lambda x: x + start)))
 
     runs = F.transform(F.sequence(F.lit(1), F.size(steps), width), lambda i: F.slice(_totals(F.slice(steps, i, width), F.lit(0)), F.lit(2), width))
-    return F.when(F.size(steps) > 0, _let(runs, over)).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size(steps) > 0, let(runs, over)).otherwise(F.array().cast("array<int>"))
 
 
 def _spans(rule: Rule, text: Column) -> Column:
@@ -194,10 +189,10 @@ def _spans(rule: Rule, text: Column) -> Column:
     gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
 
     def placed(n: Column) -> Column:
-        ends = _let(F.zip_with(F.slice(gaps, F.lit(1), F.size(n)), n, lambda gap, m: gap + m), _running)
+        ends = let(F.zip_with(F.slice(gaps, F.lit(1), F.size(n)), n, lambda gap, m: gap + m), _running)
         return F.zip_with(ends, n, lambda end, m: F.struct((end - m).alias("start"), end.alias("end")))
 
-    kept = F.zip_with(_let(sizes, placed), enough, lambda span, ok: F.when(ok, span))
+    kept = F.zip_with(let(sizes, placed), enough, lambda span, ok: F.when(ok, span))
     return F.filter(kept, lambda span: span.isNotNull())
 
 
