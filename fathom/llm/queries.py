@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import bpe, embed_dedup, langid, license_scan, line_dedup, media, minhash_dedup, packing, pii, secret_scan
+from fathom.llm import bpe, centroids, embed_dedup, langid, license_scan, line_dedup, media, minhash_dedup, packing, pii, secret_scan, spot_signatures, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,11 +64,26 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes all vectors by parts, with codebooks trained on all of them."""
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters all vectors around centroids."""
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints every document, its edited text, and compares them and the next document."""
+    return spot_signatures.digests(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query by name."""
-    return {"op1_embeddings": op1_embeddings, "op2_lines": op2_lines, "op3_secrets": op3_secrets, "op4_packing": op4_packing, "op5_pii": op5_pii, "op6_langid": op6_langid, "op7_media": op7_media, "op8_licenses": op8_licenses, "op9_minhash": op9_minhash, "op10_bpe": op10_bpe}
+    return {"op1_embeddings": op1_embeddings, "op2_lines": op2_lines, "op3_secrets": op3_secrets, "op4_packing": op4_packing, "op5_pii": op5_pii, "op6_langid": op6_langid, "op7_media": op7_media, "op8_licenses": op8_licenses, "op9_minhash": op9_minhash, "op10_bpe": op10_bpe, "op11_codes": op11_codes, "op12_centroids": op12_centroids, "op13_spotsigs": op13_spotsigs}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op1_embeddings": embed_dedup.oracle(), "op3_secrets": secret_scan.oracle()}
+    return {"op1_embeddings": embed_dedup.oracle(), "op3_secrets": secret_scan.oracle(), "op11_codes": vector_codes.oracle(), "op12_centroids": centroids.oracle()}
