@@ -84,8 +84,8 @@ def profiles(docs: DataFrame) -> DataFrame:
     return _named(docs).select(F.monotonically_increasing_id().alias("id"), "name", "doc_id", F.length("text").cast("long").alias("n_chars"), both.alias("p")).select("id", "name", "doc_id", "n_chars", "p.*")
 
 
-def index(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(cell, sig, id, n, left, own): sets under their rarest signatures, by partitions of their sizes.
+def index(reps: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, str]:
+    """(cell, sig, id, n, left, own), a table and its path: sets under their rarest signatures, by partitions of their sizes.
 
     A set is in the cell of its own size and, not as its own, in the one below; left counts the signatures of the set
     from there on, in the order of rarity.
@@ -99,9 +99,9 @@ def index(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     listed = common.withColumns({"alone": alone, "take": take}).where("take > 0").select("id", "n", "alone", F.posexplode(F.slice("common", F.lit(1), F.col("take"))).alias("at", "c"))
     cell = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     placed = listed.select("c.sig", "id", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("left"), cell.alias("of"))
-    rows, _ = written(placed.select("sig", "id", "n", "left", "of", F.explode(F.array("of", F.col("of") - 1)).alias("cell")).select("cell", "sig", "id", "n", "left", (F.col("cell") == F.col("of")).alias("own")))
+    rows, rows_path = written(placed.select("sig", "id", "n", "left", "of", F.explode(F.array("of", F.col("of") - 1)).alias("cell")).select("cell", "sig", "id", "n", "left", (F.col("cell") == F.col("of")).alias("own")))
     removed(reps.sparkSession, path)
-    return rows
+    return rows, rows_path
 
 
 def _enough(both: Column, n: Column, m: Column, percent: int) -> Column:
@@ -118,9 +118,10 @@ def confirmed(pairs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> Data
 
 def links(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(u, v): confirmed links between sets, enough of them to connect all that are linked."""
-    rows = index(reps, percent)
+    rows, rows_path = index(reps, percent)
     sizes = rows.groupBy("cell", "sig").agg(F.count("*").alias("m"), F.count_if("own").alias("owns")).where("m > 1 and owns > 0").drop("owns")
     listed, path = written(rows.join(sizes, ["cell", "sig"]))
+    removed(reps.sparkSession, rows_path)
     short, long = listed.where(F.col("m") <= SHORT), listed.where(F.col("m") > SHORT)
     near = (F.col("n_u") * 100 >= F.col("n_v") * percent) & (F.col("n_v") * 100 >= F.col("n_u") * percent)
     # Where two sets first meet in the order of rarity, what is left of each bounds what they have in common.
@@ -166,7 +167,7 @@ def _with_components(rows: DataFrame, of: DataFrame) -> DataFrame:
 
 
 def successors(found: DataFrame) -> DataFrame:
-    """(name, n_chars, next): each document and the name of the next one, by doc_id; after the last comes the first.
+    """(name, doc_id, n_chars, next): each document and the name of the next one, by doc_id; after the last comes the first.
 
     Documents are laid out in ranges of ids, and neighbours found within a range; only the first document of each
     range, as many rows as there are ranges, meets the others.
@@ -177,7 +178,7 @@ def successors(found: DataFrame) -> DataFrame:
     firsts = laid.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "name")).alias("f")).select("range", F.col("f.name").alias("name"))
     w = W.orderBy("range")
     after = firsts.select("range", F.coalesce(F.lead("name").over(w), F.first("name").over(w)).alias("beyond"))
-    return laid.withColumn("next", F.lead("name").over(W.partitionBy("range").orderBy(*by))).join(after, "range").select("name", "n_chars", F.coalesce("next", "beyond").alias("next"))
+    return laid.withColumn("next", F.lead("name").over(W.partitionBy("range").orderBy(*by))).join(after, "range").select("name", "doc_id", "n_chars", F.coalesce("next", "beyond").alias("next"))
 
 
 def digests(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -190,15 +191,16 @@ def digests(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     of = near_duplicates(found, percent)
     let_go(spark)
     asked, asked_path = written(successors(found))
-    sets = found.select("name", "fingerprint", "sigs").dropDuplicates(["name"])
-    texts = _named(docs)
+    # Both uses of texts and sets have the same columns, so each is shuffled once.
+    sets = found.select("name", "sigs").dropDuplicates(["name"])
+    texts = _named(docs).select("name", "text")
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
-    wanted = asked.select(F.col("next").alias("name"), F.col("name").alias("asker"), quarter.alias("quarter"))
-    heads = texts.select("name", "doc_id", "text").join(wanted, "name").join(sets, "name").select("asker", "quarter", F.left("text", F.col("quarter")).alias("head"), F.col("sigs").alias("next_sigs")).dropDuplicates(["asker"])
-    rows = texts.join(heads.withColumnRenamed("asker", "name"), "name").join(sets, "name").withColumn("n_chars", F.length("text").cast("long"))
+    wanted = asked.select(F.col("next").alias("name"), F.col("name").alias("asker"), "doc_id", "n_chars", quarter.alias("quarter"))
+    heads = texts.join(wanted, "name").join(sets, "name").select("asker", "doc_id", "n_chars", "quarter", F.left("text", F.col("quarter")).alias("head"), F.col("sigs").alias("next_sigs")).dropDuplicates(["asker"])
+    rows = texts.join(heads.withColumnRenamed("asker", "name"), "name").join(sets, "name")
     edited = rows.withColumn("edited", F.concat(F.left("text", (F.col("n_chars") - F.col("quarter")).cast("int")), F.col("head")))
     compared = let(signatures(F.col("edited")), lambda s: F.struct(fingerprint(s).alias("edited_fingerprint"), likeness(F.col("sigs"), s).alias("near_edited")))
-    out = edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", compared.alias("e"), likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"), F.size("sigs").cast("long").alias("n_signatures"))
+    out = edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("sigs")).alias("fingerprint"), compared.alias("e"), likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"), F.size("sigs").cast("long").alias("n_signatures"))
     out, _ = written(out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "e.*", "near_next", "n_signatures"))
     removed(spark, path)
     removed(spark, asked_path)
