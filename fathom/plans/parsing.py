@@ -14,7 +14,7 @@ from fathom.plans import tables
 from fathom.plans.registry import query
 from fathom.session import load
 from fathom.sources import chunks, ingest
-from fathom.streaming.streams import shared_folder
+from fathom.sources.store import shared_folder
 
 _NOISE = r"'(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->'"
 _STRUCTURE = r"'(?is)<(/?)(h[1-6]|p|li|div|table|tr|td|th|ul|ol|nav|article|body|head|html|title)(?:\s[^>]*)?>'"

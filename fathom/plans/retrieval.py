@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from fathom.config import RetrievalConfig
 from fathom.functions import vectors as V
-from fathom.operators import fusion, graph, lexical, vector
+from fathom.operators import fusion, graph, lexical, postings, vector
 from fathom.plans import tables
 from fathom.plans.registry import query
+from fathom.sources.store import stored
 
 CFG = RetrievalConfig()
 #: Cells that a query looks into, of ten.
@@ -39,6 +40,19 @@ SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER B
 # ---- lexical
 
 
+def _index(spark: SparkSession, sf_dir: str) -> postings.Index:
+    """The stored postings of the documents, shared by all queries that search them."""
+    keep = lambda name, build: stored(spark, sf_dir, "documents", name, build)
+    lists = postings.analyzed(tables.docs(spark, sf_dir))
+    stats = keep("corpus", lambda: postings.corpus(lists))
+    rows = keep("postings", lambda: postings.postings(lists, stats, CFG))
+    return postings.Index(rows, keep("terms", lambda: postings.terms(rows)), stats)
+
+
+def _lexical(spark: SparkSession, sf_dir: str, queries: DataFrame, k: int) -> DataFrame:
+    return postings.Search(_index(spark, sf_dir), queries, k, CFG).results()
+
+
 @query(f"WITH {_POST} SELECT doc_id, token, tf FROM tf")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Term frequencies."""
@@ -59,8 +73,8 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_POST}, {_MANY}, {_BM25} SELECT query_id, doc_id, score, rank FROM bmtop WHERE rank <= {CFG.n_bm25}")
 def bm25_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best documents of every benchmark query."""
-    return lexical.top(lexical.bm25(tables.docs(spark, sf_dir), tables.benchmark_queries(spark, sf_dir), CFG), CFG.n_bm25)
+    """The best documents of every benchmark query, from the stored postings."""
+    return _lexical(spark, sf_dir, tables.benchmark_queries(spark, sf_dir), CFG.n_bm25)
 
 
 # ---- vectors
@@ -133,8 +147,8 @@ class _Graph:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         docs = tables.docs(spark, sf_dir)
-        self.vertices = graph.entities(docs)
-        self.edges = graph.co_occurrence(docs, self.vertices)
+        self.vertices = stored(spark, sf_dir, "documents", "entities", lambda: graph.entities(docs))
+        self.edges = stored(spark, sf_dir, "documents", "edges", lambda: graph.co_occurrence(docs, self.vertices))
         self.seeds = graph.link(tables.benchmark_queries(spark, sf_dir), self.vertices)
 
     def reached(self, hops: int) -> DataFrame:
@@ -206,7 +220,7 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.candidates(
         {
             "vec": vector.search(vectors, known, CFG.n_vec).withColumnRenamed("vec_id", "chunk_id"),
-            "bm25": lexical.top(lexical.bm25(tables.docs(spark, sf_dir), queries, CFG), CFG.n_bm25).withColumnRenamed("doc_id", "chunk_id"),
+            "bm25": _lexical(spark, sf_dir, queries, CFG.n_bm25).withColumnRenamed("doc_id", "chunk_id"),
             "graph": near.select("query_id", "chunk_id", F.round(1.0 / (1.0 + F.col("hop")), 6).alias("score")),
             "gear": graph.gear(reached, CFG.max_hops, CFG.beam),
         }
@@ -314,8 +328,7 @@ bt AS (SELECT subject, object, array_to_string(t[pos + 1:nxt - 1], ' ') AS betwe
 SELECT subject, CASE WHEN between = '' THEN 'next' ELSE between END AS predicate, object, count(*) AS n FROM bt GROUP BY ALL""")
 def entity_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring entities of a line and the words between them."""
-    docs = tables.docs(spark, sf_dir)
-    return graph.triplets(docs, graph.entities(docs))
+    return graph.triplets(tables.docs(spark, sf_dir), _Graph(spark, sf_dir).vertices)
 
 
 @query(f"""WITH {_RANKED}, truth AS (SELECT item_id AS query_id, min(doc_id) AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,13 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The shared folder; a local one only where all tasks run in this process."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return folder or tempfile.mkdtemp(prefix="fathom-")
+from fathom.sources.store import shared_folder
 
 
 def run_once(spark: SparkSession, sf_dir: str, table: str, plan: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
