@@ -1,4 +1,4 @@
-"""Vector search: exact scans of a query set against all rows, pooling, and a pruned search."""
+"""Vector search: exact scans of a query set against all rows, and pooling."""
 
 from __future__ import annotations
 
@@ -22,25 +22,3 @@ def mean_pool(rows: DataFrame, by: str) -> DataFrame:
     """(by, dim, mean): the mean of each dimension."""
     each = rows.select(by, F.posexplode("embedding").alias("dim", "x"))
     return each.groupBy(by, "dim").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
-
-
-def centroids(rows: DataFrame, by: str = "label") -> DataFrame:
-    """(centroid_id, centroid): the mean vector of each cell of a coarse partition."""
-    means = mean_pool(rows, by)
-    return means.groupBy(F.col(by).alias("centroid_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean"))), lambda x: x["mean"]).alias("centroid"))
-
-
-def pruned_search(rows: DataFrame, queries: DataFrame, k: int, probes: int, by: str = "label") -> DataFrame:
-    """As search by dot product, over the cells of the nearest centroids only; cells are met by an equi-join.
-
-    A row without a label is in the cell of its nearest centroid.
-    """
-    cells = centroids(rows.where(F.col(by).isNotNull()), by)
-    near = queries.crossJoin(cells).select("query_id", "embedding", "centroid_id", F.round(V.dot(F.col("embedding"), F.col("centroid")), 6).alias("score"))
-    probe = top(near, probes, "centroid_id").select("query_id", F.col("embedding").alias("q"), F.col("centroid_id").alias(by))
-    every = cells.agg(F.collect_list(F.struct("centroid_id", "centroid")).alias("cells"))
-    nearest = F.array_min(F.transform("cells", lambda c: F.struct((-F.round(V.dot(F.col("embedding"), c["centroid"]), 6)).alias("far"), c["centroid_id"].alias("id"))))["id"]
-    loose = rows.where(F.col(by).isNull()).crossJoin(every).select("vec_id", "embedding", nearest.alias(by))
-    placed = rows.where(F.col(by).isNotNull()).select("vec_id", "embedding", by).unionByName(loose)
-    scored = placed.join(probe, by).select("query_id", "vec_id", F.round(V.dot(F.col("embedding"), F.col("q")), 6).alias("score"))
-    return top(scored, k, "vec_id")

@@ -31,13 +31,18 @@ def html_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunkers.html_outline(load(spark, sf_dir, "pages"))
 
 
-@query("""SELECT n_regionkey AS page_id, 0::BIGINT AS tbl, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS "row", '| ' || n_name || ' | ' || n_nationkey || ' |' AS markdown FROM nation""")
+_ROWS = r"'(?is)<tr(?:\s[^>]*)?>(.*?)</tr>'"
+_CELLS = r"'(?is)<t[dh](?:\s[^>]*)?>(.*?)</t[dh]>'"
+
+
+@query(rf"""WITH h AS (SELECT page_id, '<body><TABLE border=1><tr class="h"><th>url</th>' || chr(10) || '<td> ' || url || ' </td></tr><TR><td>' || html || '</td></TR></TABLE><table></table>' AS h FROM pages),
+t AS (SELECT page_id, unnest(regexp_extract_all(h, '(?is)<table(?:\s[^>]*)?>(.*?)</table>', 1)) AS t, generate_subscripts(regexp_extract_all(h, '(?is)<table(?:\s[^>]*)?>(.*?)</table>', 1), 1) - 1 AS tbl FROM h),
+r AS (SELECT page_id, tbl, unnest(regexp_extract_all(t, {_ROWS}, 1)) AS r, generate_subscripts(regexp_extract_all(t, {_ROWS}, 1), 1) - 1 AS "row" FROM t)
+SELECT page_id, tbl, "row", '| ' || array_to_string(list_transform(regexp_extract_all(r, {_CELLS}, 1), lambda c: trim(regexp_replace(regexp_replace(c, '(?s)<[^>]*>', '', 'g'), '\s+', ' ', 'g'))), ' | ') || ' |' AS markdown FROM r""")
 def html_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of tables in pages; each region's nations are written as such a page first."""
-    row = F.concat(F.lit("<tr class='n'><td><b>"), "n_name", F.lit("</b></td>\n<td> "), F.col("n_nationkey").cast("string"), F.lit(" </td></tr>"))
-    ordered = F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("r"))))
-    made = load(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("page_id")).agg(ordered.alias("o")).select("page_id", F.concat(F.lit("<body><TABLE border=1>"), F.array_join("o.r", "\n"), F.lit("</TABLE></body>")).alias("html"))
-    return chunkers.html_table_rows(made)
+    """Rows of tables in pages; the given pages have no tables, so each becomes a cell of one, markup and all."""
+    html = F.concat(F.lit('<body><TABLE border=1><tr class="h"><th>url</th>\n<td> '), "url", F.lit(" </td></tr><TR><td>"), "html", F.lit("</td></TR></TABLE><table></table>"))
+    return chunkers.html_table_rows(load(spark, sf_dir, "pages").select("page_id", html.alias("html")))
 
 
 @query("""SELECT event_id, path, value FROM (SELECT event_id, 'at[0]' AS path, event_type AS value FROM events UNION ALL SELECT event_id, 'at[1].user', CAST(user_id AS VARCHAR) FROM events
@@ -48,25 +53,28 @@ def json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunkers.json_paths(load(spark, sf_dir, "events").select("event_id", made.alias("j")), "event_id", "j")
 
 
-@query("""WITH o AS (SELECT conv_id, turn, role, text FROM conversations WHERE text IS NOT NULL AND NOT contains(text, chr(10)) AND trim(text) <> '' AND NOT starts_with(text, '#') AND NOT starts_with(text, '```')),
-n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM o)
-SELECT conv_id, k.kind, count(*) AS n, CAST(sum(length(k.t)) AS BIGINT) AS chars FROM (SELECT conv_id, unnest([{'kind': 'heading', 't': '## ' || role}, {'kind': 'paragraph', 't': text}, {'kind': 'code', 't': '```' || chr(10) || turn || chr(10) || chr(10) || '# no' || chr(10) || '```'}]) AS k FROM n) GROUP BY ALL""")
+@query(r"""WITH m AS (SELECT conv_id, string_agg('## ' || role || chr(10) || text || chr(10) || '```' || chr(10) || turn || chr(10) || chr(10) || '# no' || chr(10) || '```' || chr(10), chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id),
+l AS (SELECT conv_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line FROM m),
+f AS (SELECT *, starts_with(line, '```') AS fence, count(*) FILTER (WHERE starts_with(line, '```')) OVER (PARTITION BY conv_id ORDER BY pos) AS fences FROM l),
+k AS (SELECT *, CASE WHEN fence OR fences % 2 = 1 THEN 'code' WHEN regexp_matches(line, '^#{1,6} ') THEN 'heading' WHEN trim(line) = '' THEN 'blank' ELSE 'paragraph' END AS kind FROM f),
+b AS (SELECT *, lag(kind) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM k),
+n AS (SELECT *, count(*) FILTER (WHERE before IS NULL OR kind <> before OR kind = 'heading' OR (kind = 'code' AND fence AND fences % 2 = 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS block FROM b)
+SELECT conv_id, block, kind, string_agg(line, chr(10) ORDER BY pos) AS text FROM n WHERE kind <> 'blank' GROUP BY ALL""")
 def md_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headings, paragraphs and fenced code of Markdown; each conversation is written as such a document first."""
-    turns = load(spark, sf_dir, "conversations").where("text is not null and not contains(text, '\n') and trim(text) <> '' and not startswith(text, '#') and not startswith(text, '```')")
+    """Headings, paragraphs and fenced code of Markdown; each conversation, with all lines of its turns, is written as such a document first."""
     one = F.concat(F.lit("## "), "role", F.lit("\n"), "text", F.lit("\n```\n"), F.col("turn").cast("string"), F.lit("\n\n# no\n```\n"))
-    ordered = F.array_sort(F.collect_list(F.struct("turn", one.alias("t"))))
-    made = turns.groupBy("conv_id").agg(ordered.alias("o")).select("conv_id", F.array_join("o.t", "\n").alias("text"))
-    return chunkers.markdown_blocks(made, "conv_id").groupBy("conv_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "text", one.alias("t"))))
+    made = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(ordered.alias("o")).select("conv_id", F.array_join("o.t", "\n").alias("text"))
+    return chunkers.markdown_blocks(made, "conv_id")
 
 
-@query("""WITH c AS (SELECT conv_id, text, turn FROM conversations WHERE text IS NOT NULL AND trim(text) <> '' AND NOT contains(text, chr(10)))
-SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS para, trim(text) AS text FROM c""")
+@query(r"""WITH c AS (SELECT conv_id, string_agg(text, chr(10) || ' ' || chr(10) || chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id),
+p AS (SELECT conv_id, list_filter(list_transform(regexp_split_to_array(text, '\n[ \t]*\n\s*'), lambda x: trim(x)), lambda x: x <> '') AS p FROM c WHERE text IS NOT NULL)
+SELECT conv_id, generate_subscripts(p, 1) - 1 AS para, unnest(p) AS text FROM p""")
 def plain_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs between blank lines; each conversation is written as a plain text first."""
+    """Paragraphs between blank lines; each conversation, with all lines of its turns, is written as a plain text first."""
     ordered = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    turns = load(spark, sf_dir, "conversations").where("text is not null and trim(text) <> '' and not contains(text, '\n')")
-    return chunkers.paragraphs(turns.groupBy("conv_id").agg(ordered.alias("o")).select("conv_id", F.array_join("o.text", "\n \n\n").alias("text")), "conv_id")
+    return chunkers.paragraphs(load(spark, sf_dir, "conversations").where("text is not null").groupBy("conv_id").agg(ordered.alias("o")).select("conv_id", F.array_join("o.text", "\n \n\n").alias("text")), "conv_id")
 
 
 @query("""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)

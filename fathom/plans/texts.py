@@ -30,12 +30,14 @@ def line_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.dedupe_lines(tables.docs(spark, sf_dir).where("text is not null"))
 
 
-@query(f"WITH {_LINES} SELECT doc_id, pos, {_S} AS line, length(line) - length({_S}) AS cut FROM ls WHERE length(line) <> length({_S})")
+@query(f"""WITH {_LINES}, h AS (SELECT page_id, generate_subscripts(string_split(html, chr(10)), 1) - 1 AS pos, unnest(string_split(html, chr(10))) AS line FROM pages WHERE html IS NOT NULL),
+every_line AS (SELECT 'text' AS kind, doc_id AS id, pos, line FROM ls UNION ALL SELECT 'html', page_id, pos, line FROM h) SELECT kind, id, pos, {_S} AS line, length(line) - length({_S}) AS cut FROM every_line""")
 def ws_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that white space at the edges was taken from."""
-    lines = tables.docs(spark, sf_dir).where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    stripped = lines.select("doc_id", F.col("pos").cast("long").alias("pos"), T.strip(F.col("line")).alias("line"), F.length("line").alias("n"))
-    return stripped.select("doc_id", "pos", "line", (F.col("n") - F.length("line")).cast("long").alias("cut")).where("cut <> 0")
+    """Every line of documents and web pages without white space at its edges, and how much of it was cut."""
+    lines = lambda kind, rows, key, text: rows.where(F.col(text).isNotNull()).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+    every = lines("text", tables.docs(spark, sf_dir), "doc_id", "text").unionByName(lines("html", load(spark, sf_dir, "pages"), "page_id", "html"))
+    stripped = every.select("kind", "id", F.col("pos").cast("long").alias("pos"), T.strip(F.col("line")).alias("line"), F.length("line").alias("n"))
+    return stripped.select("kind", "id", "pos", "line", (F.col("n") - F.length("line")).cast("long").alias("cut"))
 
 
 _TABLES = r"""t AS (SELECT doc_id, list_transform(list_filter(string_split(text, chr(10)), lambda x: contains(x, '|')), lambda x: list_transform(string_split(x, '|'), lambda c: regexp_replace(c, '^\s+|\s+$', '', 'g'))) AS r FROM documents WHERE contains(text, '|')),

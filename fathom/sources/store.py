@@ -38,12 +38,15 @@ def _state(spark: SparkSession, path: str) -> tuple:
     return summary.getLength(), summary.getFileCount(), files.getFileStatus(where).getModificationTime()
 
 
-def stored(spark: SparkSession, sf_dir: str, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table that build makes from a given table: written at its first use, read from then on while the source stays as it is."""
+def stored(spark: SparkSession, sf_dir: str, source: str, name: str, build: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
+    """The table that build makes from a given table: written at its first use, read from then on while the source stays as it is.
+
+    With by it is laid out in a folder for each value of that column.
+    """
     key = (spark.sparkContext.applicationId, sf_dir, source, name, _state(spark, f"{sf_dir}/{source}.parquet"))
     if key not in _KNOWN:
         made = build()
         path = f"{shared_folder(spark)}/index-{name}-{uuid.uuid4().hex}"
-        made.write.parquet(path)
+        made.write.parquet(path, partitionBy=by)
         _KNOWN[key] = path
     return spark.read.parquet(_KNOWN[key])

@@ -132,24 +132,6 @@ def test_bm25_of_an_empty_corpus_and_query(spark):
     assert lexical.bm25(docs.where("false"), queries).count() == 0
 
 
-def test_pruned_search_meets_rows_without_a_label(spark):
-    from fathom.operators import vector
-
-    rows = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [0.0, 1.0], 1), (3, [2.0, 0.1], None), (4, [0.1, 2.0], None), (4, [0.1, 2.0], None)], "vec_id long, embedding array<double>, label int")
-    queries = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, embedding array<double>")
-    assert [r.vec_id for r in vector.pruned_search(rows, queries, 10, 1).orderBy("rank").collect()] == [3, 1]
-    assert [r.vec_id for r in vector.pruned_search(rows, queries, 10, 2).orderBy("rank").collect()] == [3, 1, 4, 4, 2]
-
-
-def test_recall_of_the_index(spark):
-    from fathom.plans import catalog
-
-    for sf in ("0.001", "0.1"):
-        found, true = ({(r.query_id, r.vec_id) for r in catalog.queries()[q](spark, f"/root/testdata/sf{sf}").collect()} for q in ("ivf_topk", "vec_dot_topk"))
-        print(sf, len(found & true) / len(true))
-        assert len(found & true) >= 0.9 * len(true)
-
-
 def test_json_depth_markdown_and_filters(spark):
     from fathom.operators import chunkers
 
