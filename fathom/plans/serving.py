@@ -90,5 +90,12 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_ONE_DAY} SELECT event_id, user_id, used, used <= {LIMIT} AS allowed FROM f")
 def stream_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The quota as a stream with state for each user."""
-    return streams.run_once(spark, sf_dir, "events", lambda e: streams.quota(e, DAY, LIMIT), "append")
+    """The quota as a stream: calls wait in a user's state until the watermark has passed them."""
+    return streams.run_once(spark, sf_dir, "events", lambda e: streams.quota(e, DAY, LIMIT), "append", close="ts")
+
+
+@query(f"{_FOLD.format('30 MINUTE')} SELECT user_id, number, count(*) AS n, array_to_string(list(event_id ORDER BY ts, event_id), ',') AS events FROM f GROUP BY user_id, number")
+def stream_microbatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests in batches that a timer flushes half an hour after their first one, as a stream."""
+    found = streams.run_once(spark, sf_dir, "events", lambda e: streams.micro_batches(e, 1800), "append", close="ts")
+    return found.select("user_id", "number", "n", F.array_join(F.col("events").cast("array<string>"), ",").alias("events"))

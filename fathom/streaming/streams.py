@@ -8,27 +8,53 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fathom.sources.store import shared_folder
 
 
-def run_once(spark: SparkSession, sf_dir: str, table: str, plan: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+#: The state store that timers and lists of state need.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_once(spark: SparkSession, sf_dir: str, table: str, plan: Callable[[DataFrame], DataFrame], mode: str, files: int | None = None, close: str | None = None) -> DataFrame:
     """Runs a stream over a table's files until they are used up; its sink is a table in the shared folder.
 
-    In complete mode the last batch is the result, in append mode all batches are.
+    In complete mode the last batch is the result, in append mode all batches are. With files so many are read in a
+    batch. With close, a column of time, the stream is run again over one more row of a far later time and nothing
+    else, by which all that waits for its watermark comes out.
     """
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    result = plan(spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.parquet*"))
+    read = spark.readStream.schema(schema)
+    rows = (read.option("maxFilesPerTrigger", files) if files else read).parquet(f"{sf_dir}/{table}.parquet*")
+    if close:
+        spark.createDataFrame([], schema).write.parquet(f"{base}/end/none")
+        rows = rows.unionByName(spark.readStream.schema(schema).parquet(f"{base}/end/*"))
+    result = plan(rows)
 
     spark.createDataFrame([], result.schema).write.parquet(f"{base}/out/batch=none")
 
     def sink(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={0 if mode == 'complete' else number}")
 
-    running = result.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(sink).start()
-    running.awaitTermination()
+    def run() -> None:
+        writer = result.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+        writer.foreachBatch(sink).start().awaitTermination()
+
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    try:
+        run()
+        if close:
+            last = [F.to_timestamp_ntz(F.lit("2200-01-01 00:00:00")).alias(close) if f.name == close else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+            spark.range(1).select(*last).write.parquet(f"{base}/end/last")
+            run()
+    finally:
+        if before is None:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        else:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     return spark.read.schema(result.schema).option("recursiveFileLookup", "true").parquet(f"{base}/out")
 
 
@@ -48,25 +74,119 @@ def window_counts(events: DataFrame) -> DataFrame:
     return grouped.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n", "total")
 
 
-def _quota(seconds: float, limit: int):
-    span = pd.Timedelta(seconds=seconds)
+def punctual(events: DataFrame, delay: str) -> DataFrame:
+    """Adds at, microseconds since 1970, and a watermark on it: events that come later than the delay are dropped."""
+    at = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', ts)")
+    return events.withColumn("at", at).withColumn("_time", F.timestamp_micros("at")).withWatermark("_time", delay)
+
+
+class _InOrder(StatefulProcessor):
+    """Holds the events of a user until the watermark has passed them, then handles them in order of time and id.
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        anchor, used = (pd.Timestamp(state.get[0], unit="us"), state.get[1]) if state.exists else (None, 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        counts = []
-        for ts in rows["ts"]:
-            if anchor is None or ts >= anchor + span:
-                anchor, used = ts, 0
+    Out-of-order events within the watermark's delay so give what ordered ones give. The state of a user is the events
+    that are still open, in a list, and what a subclass keeps; one timer is set at a time.
+    """
+
+    #: Microseconds after an event at which nothing that comes can change what it is part of.
+    settled = 0
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "at long, event_id long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = [(int(at), int(e)) for batch in rows for at, e in zip(batch["at"], batch["event_id"], strict=True)]
+        self.open.appendList(held)
+        self._wake(min(held)[0])
+        return iter([])
+
+    def _wake(self, at: int) -> None:
+        # In milliseconds, rounded up.
+        due = -(-(at + self.settled) // 1000) + 1
+        timers = list(self.handle.listTimers())
+        if not timers or due < min(timers):
+            for t in timers:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(due)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted((r[0], r[1]) for r in self.open.get())
+        done, left = self.split(key, rows, passed)
+        self.open.clear()
+        if left:
+            self.open.appendList(left)
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self._wake(left[0][0])
+        if len(done):
+            yield done
+
+    def split(self, key, rows: list[tuple[int, int]], passed: int) -> tuple[pd.DataFrame, list[tuple[int, int]]]:
+        """What is final at a watermark, and the events that stay open."""
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
+
+
+class _Quota(_InOrder):
+    def __init__(self, seconds: float, limit: int) -> None:
+        self.span, self.limit = int(seconds * 1e6), limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.window = handle.getValueState("window", "anchor long, used long")
+
+    def split(self, key, rows, passed):
+        anchor, used = tuple(self.window.get()) if self.window.exists() else (None, 0)
+        out = []
+        for at, event_id in rows:
+            if at > passed:
+                break
+            if anchor is None or at >= anchor + self.span:
+                anchor, used = at, 0
             used += 1
-            counts.append(used)
-        state.update((anchor.value // 1000, used))
-        yield pd.DataFrame({"event_id": rows["event_id"], "user_id": key[0], "used": counts, "allowed": [c <= limit for c in counts]})
+            out.append((event_id, key[0], used, used <= self.limit))
+        if out:
+            self.window.update((anchor, used))
+        return pd.DataFrame(out, columns=["event_id", "user_id", "used", "allowed"]), rows[len(out) :]
+
+
+class _Batches(_InOrder):
+    def __init__(self, seconds: float) -> None:
+        self.settled = int(seconds * 1e6)
 
-    return step
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.number = handle.getValueState("number", "number long")
+
+    def split(self, key, rows, passed):
+        number, out = self.number.get()[0] if self.number.exists() else 0, []
+        while rows and rows[0][0] + self.settled <= passed:
+            size = sum(at < rows[0][0] + self.settled for at, _ in rows)
+            out.append((key[0], number, size, [e for _, e in rows[:size]]))
+            number, rows = number + 1, rows[size:]
+        if out:
+            self.number.update((number,))
+        return pd.DataFrame(out, columns=["user_id", "number", "n", "events"]), rows
+
+
+def _per_user(events: DataFrame, processor: StatefulProcessor, result: str) -> DataFrame:
+    # The test names the time, so that it is not moved below the watermark, which rows without a user advance, too.
+    whole = F.when(F.col("_time").isNotNull(), F.col("user_id").isNotNull() & F.col("event_id").isNotNull()).otherwise(False)
+    rows = events.where(whole).select("user_id", "event_id", "at", "_time")
+    return rows.groupBy("user_id").transformWithStateInPandas(processor, result, "Append", "EventTime")
+
+
+def quota(events: DataFrame, seconds: float, limit: int, delay: str = "1 day") -> DataFrame:
+    """(event_id, user_id, used, allowed): the quota that starts anew a fixed time after its first call.
+
+    Answers come when the watermark has passed a call, so calls that come out of order count as if they had not.
+    """
+    return _per_user(punctual(events, delay), _Quota(seconds, limit), "event_id long, user_id long, used long, allowed boolean")
 
 
-def quota(events: DataFrame, seconds: float, limit: int) -> DataFrame:
-    """(event_id, user_id, used, allowed): the counter of a user's window lives in the stream's state."""
-    rows = events.select("user_id", "ts", "event_id").where("user_id is not null and ts is not null")
-    return rows.groupBy("user_id").applyInPandasWithState(_quota(seconds, limit), "event_id long, user_id long, used long, allowed boolean", "anchor long, used long", "append", GroupStateTimeout.NoTimeout)
+def micro_batches(events: DataFrame, seconds: float, delay: str = "1 day") -> DataFrame:
+    """(user_id, number, n, events): requests in batches that a timer flushes a fixed time after their first one."""
+    return _per_user(punctual(events, delay), _Batches(seconds), "user_id long, number long, n long, events array<long>")

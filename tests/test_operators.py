@@ -75,7 +75,7 @@ def test_quota_batch_and_stream(spark, tmp_path):
     want = {10 * u + i: x for u in (1, 2) for i, x in enumerate(plain_quota(times, 86_400, 2))}
     assert got == want
     events.write.parquet(f"{tmp_path}/events.parquet")
-    stream = streams.run_once(spark, str(tmp_path), "events", lambda e: streams.quota(e, 86_400, 2), "append")
+    stream = streams.run_once(spark, str(tmp_path), "events", lambda e: streams.quota(e, 86_400, 2), "append", close="ts")
     assert {r.event_id: (r.used, r.allowed) for r in stream.collect()} == want
 
 
