@@ -62,11 +62,15 @@ def fuse(found: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), boost: str
     return found.withColumn("final", F.round(total, 6))
 
 
-def rank(fused: DataFrame, k: int) -> DataFrame:
-    """The k best of each query; ties go to the channel that found a chunk first, then to its best score there."""
+def order() -> list[Column]:
+    """The order of fused candidates: ties go to the channel that found a chunk first, then to its best score there."""
     first = F.coalesce(*(F.when(F.col(c).isNotNull(), F.lit(i)) for i, c in enumerate(CHANNELS)))
-    lead = F.coalesce(*CHANNELS)
-    w = W.partitionBy("query_id").orderBy(F.desc("final"), first, F.desc(lead), "chunk_id")
+    return [F.desc("final"), first, F.desc(F.coalesce(*CHANNELS)), F.col("chunk_id")]
+
+
+def rank(fused: DataFrame, k: int) -> DataFrame:
+    """The k best of each query."""
+    w = W.partitionBy("query_id").orderBy(*order())
     return fused.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 

@@ -10,6 +10,7 @@ in blocks that can reach the threshold, and the postings of the former are read
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from fathom.config import RetrievalConfig
 from fathom.functions.text import tokens
-from fathom.operators.lexical import query_terms, top
+from fathom.operators.lexical import top
 from fathom.sources.store import written
 
 #: Documents of a block.
@@ -62,25 +63,38 @@ def postings(lists: DataFrame, stats: DataFrame, cfg: RetrievalConfig = Retrieva
     blocks = laid.select("doc_id", "dl", (F.shiftleft(F.col("range").cast("long"), 40) + number).alias("block"))
     each = lists.join(blocks, "doc_id").select("doc_id", "dl", "block", F.explode("toks").alias("token"))
     tf = each.groupBy("doc_id", "dl", "block", "token").agg(F.count("*").alias("tf"))
+    return _blocks(tf, avgdl, cfg)
+
+
+def _blocks(tf: DataFrame, avgdl: float, cfg: RetrievalConfig) -> DataFrame:
     weighed = tf.withColumn("impact", impact(F.col("tf"), F.col("dl"), avgdl, cfg))
     rows = weighed.groupBy("token", "block").agg(F.max("impact").alias("top"), F.collect_list(F.struct("doc_id", "tf", "dl")).alias("docs"))
     return rows.repartitionByRange("token", "block").sortWithinPartitions("token", "block")
 
 
+def renamed(rows: DataFrame, names: DataFrame, stats: DataFrame, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+    """Postings under other names of the tokens, given by (token, stem); what tokens of one name have is added up."""
+    each = rows.join(names, "token").select(F.col("stem").alias("token"), "block", F.inline("docs"))
+    return _blocks(each.groupBy("token", "block", "doc_id", "dl").agg(F.sum("tf").alias("tf")), stats.first().avgdl or 1.0, cfg)
+
+
 def terms(rows: DataFrame) -> DataFrame:
     """(token, df, top) of each token of the postings."""
     return rows.groupBy("token").agg(F.sum(F.size("docs").cast("long")).alias("df"), F.max("top").alias("top"))
 
 
 class Search:
-    """A search of many queries; the parts are there to be looked at."""
+    """A search of many queries, given by their terms (query_id, token); the parts are there to be looked at.
+
+    keep drops hits (query_id, doc_id, ...) that must not be found, before any score counts.
+    """
 
-    def __init__(self, index: Index, queries: DataFrame, k: int, cfg: RetrievalConfig = RetrievalConfig(), block: int = BLOCK) -> None:
+    def __init__(self, index: Index, asked: DataFrame, k: int, cfg: RetrievalConfig = RetrievalConfig(), block: int = BLOCK, keep: Callable[[DataFrame], DataFrame] = lambda hits: hits) -> None:
         stats = index.stats.first()
-        self.index, self.k, self.cfg, self.avgdl = index, k, cfg, stats.avgdl or 1.0
+        self.index, self.k, self.cfg, self.avgdl, self.keep = index, k, cfg, stats.avgdl or 1.0, keep
         idf = F.log(1.0 + (F.lit(float(stats.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         #: (query_id, token, idf) of the tokens that some document has, and the most that each adds to a score.
-        self.wanted = written(query_terms(queries).join(index.terms, "token").select("query_id", "token", idf.alias("idf"), (idf * F.col("top")).alias("most")))
+        self.wanted = written(asked.join(index.terms, "token").select("query_id", "token", idf.alias("idf"), (idf * F.col("top")).alias("most")))
         #: (query_id, token, block, bound): every block that a query could read; the postings themselves are not read.
         self.blocks = written(index.postings.select("token", "block", "top").join(self.wanted, "token").select("query_id", "token", "block", "idf", "most", (F.col("idf") * F.col("top")).alias("bound")))
         bounds = self.blocks.groupBy("query_id", "block").agg(F.sum("bound").alias("bound"))
@@ -112,7 +126,7 @@ class Search:
         """(..., doc_id, part): the documents in chosen blocks of tokens."""
         read = chosen.join(self.index.postings.select("token", "block", "docs"), ["token", "block"])
         each = read.select(*chosen.columns, F.inline("docs"))
-        return each.withColumn("part", F.col("idf") * impact(F.col("tf"), F.col("dl"), self.avgdl, self.cfg))
+        return self.keep(each).withColumn("part", F.col("idf") * impact(F.col("tf"), F.col("dl"), self.avgdl, self.cfg))
 
     def scored(self, chosen: DataFrame) -> DataFrame:
         """(query_id, doc_id, score) of the documents in chosen blocks."""

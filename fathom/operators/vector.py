@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions import vectors as V
+from fathom.operators.filters import has
 from fathom.operators.lexical import top
 
 SCORES = {"dot": V.dot, "cosine": V.cosine, "l2": lambda a, b: -V.l2(a, b)}
@@ -18,6 +19,17 @@ def search(rows: DataFrame, queries: DataFrame, k: int, metric: str = "dot") ->
     return top(scored.where("score is not null"), k, "vec_id")
 
 
+def search_allowed(rows: DataFrame, queries: DataFrame, allow: DataFrame, k: int, metric: str = "dot") -> DataFrame:
+    """As search, among the rows that a query's filters allow: filters.allowed goes ahead of all products.
+
+    Rows meet queries by the bucket of their ids, so a query takes up only the buckets in which it may find something.
+    """
+    q = queries.join(allow, "query_id").select("query_id", F.col("embedding").alias("q"), "bucket", "bits")
+    met = rows.select("vec_id", "embedding").withColumn("bucket", F.bitmap_bucket_number("vec_id")).join(q, "bucket").where(has("bits", F.bitmap_bit_position("vec_id")))
+    scored = met.select("query_id", "vec_id", F.round(SCORES[metric](F.col("embedding"), F.col("q")), 6).alias("score"))
+    return top(scored.where("score is not null"), k, "vec_id")
+
+
 def mean_pool(rows: DataFrame, by: str) -> DataFrame:
     """(by, dim, mean): the mean of each dimension."""
     each = rows.select(by, F.posexplode("embedding").alias("dim", "x"))

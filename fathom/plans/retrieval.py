@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from fathom.config import RetrievalConfig
 from fathom.functions import vectors as V
-from fathom.operators import fusion, graph, lexical, postings, vector, vector_index
+from fathom.functions.stem import stem, stem_sql, stems
+from fathom.operators import clusters, filters, fusion, graph, lexical, postings, vector, vector_index
 from fathom.plans import tables
 from fathom.plans.registry import query
-from fathom.sources.store import stored
+from fathom.sources.store import stored, written
 
 CFG = RetrievalConfig()
 STRICT = RetrievalConfig(min_vec=0.2, min_bm25=1.5, min_graph=0.0)
@@ -48,7 +49,7 @@ def _index(spark: SparkSession, sf_dir: str) -> postings.Index:
 
 
 def _lexical(spark: SparkSession, sf_dir: str, queries: DataFrame, k: int) -> DataFrame:
-    return postings.Search(_index(spark, sf_dir), queries, k, CFG).results()
+    return postings.Search(_index(spark, sf_dir), lexical.query_terms(queries), k, CFG).results()
 
 
 @query(f"WITH {_POST} SELECT doc_id, token, tf FROM tf")
@@ -75,6 +76,50 @@ def bm25_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lexical(spark, sf_dir, tables.benchmark_queries(spark, sf_dir), CFG.n_bm25)
 
 
+_STEMMED = f"""{_TOK}, voc AS (SELECT token, {stem_sql('token')} AS stem FROM (SELECT DISTINCT unnest(t) AS token FROM toks)),
+tf AS (SELECT doc_id, stem AS token, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS token FROM toks) JOIN voc USING (token) GROUP BY doc_id, stem),
+df AS (SELECT token, count(*) AS df FROM tf GROUP BY token), st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM toks), dl AS (SELECT doc_id, len(t) AS dl FROM toks)"""
+_STEM_TERMS = _BM25.replace("qt AS (", "qw AS (", 1).replace("bm AS (", f"qt AS (SELECT DISTINCT query_id, {stem_sql('token')} AS token FROM qw),\nbm AS (", 1)
+
+
+@query(f"WITH {_STEMMED}, {_MANY}, {_STEM_TERMS} SELECT query_id, doc_id, score, rank FROM bmtop WHERE rank <= {CFG.n_bm25}")
+def bm25_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As bm25_multi_query over stems: the vocabulary's stems are joined to the postings, which are stored anew."""
+    plain = _index(spark, sf_dir)
+    keep = lambda name, build: stored(spark, sf_dir, "documents", name, build)
+    names = keep("stems", lambda: stems(plain.terms))
+    rows = keep("stem_postings", lambda: postings.renamed(plain.postings, names, plain.stats, CFG))
+    index = postings.Index(rows, keep("stem_terms", lambda: postings.terms(rows)), plain.stats)
+    asked = lexical.query_terms(tables.benchmark_queries(spark, sf_dir)).select("query_id", stem(F.col("token")).alias("token")).distinct()
+    return postings.Search(index, asked, CFG.n_bm25, CFG).results()
+
+
+# Each passage asks for the language of the document with its id, every other one for that document's source, too.
+_ASKED = "asked AS (SELECT item_id AS query_id, b.text, lower(d.lang) AS lang, CASE WHEN item_id % 2 = 0 THEN lower(d.source) END AS source FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id)"
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, text, filters) of the benchmark passages, with filters among their words."""
+    from fathom.session import load
+
+    own = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), "lang", "source")
+    some = F.concat_ws(" ", F.concat(F.lit("lang:"), "lang"), F.when(F.col("query_id") % 2 == 0, F.concat(F.lit("Source:"), "source")), "text")
+    return fusion.parse_query(tables.benchmark_queries(spark, sf_dir).join(own, "query_id", "left").select("query_id", some.alias("text")))
+
+
+@query(f"""WITH {_POST}, {_ASKED}, q AS (SELECT query_id, text FROM asked), {_BM25.split("bmtop AS")[0].rstrip().rstrip(",")},
+fl AS (SELECT bm.* FROM bm JOIN asked a USING (query_id) JOIN documents d USING (doc_id) WHERE (a.lang IS NULL OR lower(d.lang) = a.lang) AND (a.source IS NULL OR lower(d.source) = a.source))
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fl QUALIFY rank <= 10""")
+def filtered_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents among those that a query's filters allow."""
+    from fathom.session import load
+
+    index = stored(spark, sf_dir, "documents", "bitmaps", lambda: filters.bitmaps(load(spark, sf_dir, "documents"), "doc_id", ["lang", "source"]))
+    asked = written(_asked(spark, sf_dir))
+    allow = written(filters.allowed(asked, index))
+    return postings.Search(_index(spark, sf_dir), lexical.query_terms(asked), 10, CFG, keep=lambda hits: filters.passing(hits, asked, allow, "doc_id")).results()
+
+
 # ---- vectors
 
 
@@ -96,6 +141,17 @@ def vec_l2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.search(tables.vectors(spark, sf_dir), tables.vector_queries(spark, sf_dir), 10, "l2")
 
 
+@query(f"""WITH vq AS (SELECT vec_id AS query_id, embedding AS q, label FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, vec_id, round({_DOT.format('embedding', 'q')}, 6) AS score FROM embeddings JOIN vq USING (label))
+SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10""")
+def filtered_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest vectors among those with the query's label, which its filter names."""
+    rows = tables.vectors(spark, sf_dir)
+    asked = rows.where("vec_id % 50 = 0 and label is not null").select(F.col("vec_id").alias("query_id"), "embedding", F.create_map(F.lit("label"), F.col("label").cast("string")).alias("filters"))
+    index = stored(spark, sf_dir, "embeddings", "bitmaps", lambda: filters.bitmaps(rows, "vec_id", ["label"]))
+    return vector.search_allowed(rows, asked, filters.allowed(asked, index), 10)
+
+
 _MEANS = "m AS (SELECT label, dim, round(avg(x), 6) AS mean FROM (SELECT label, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY ALL)"
 
 
@@ -318,6 +374,24 @@ def merge_near_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", "chunk_id", "merged_into")
 
 
+@query(f"""WITH RECURSIVE {_CAND}, {_fused_sql('cand', 'ranked')}, s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(t) > 0 THEN {_SHINGLES} ELSE [] END AS s FROM toks WHERE doc_id IN (SELECT chunk_id FROM cand)),
+dp AS (SELECT DISTINCT a.chunk_id AS u, b.chunk_id AS v FROM cand a JOIN cand b ON a.query_id = b.query_id AND a.chunk_id < b.chunk_id),
+lk AS MATERIALIZED (SELECT u, v FROM dp JOIN s x ON x.doc_id = u JOIN s y ON y.doc_id = v WHERE len(x.s) > 0 AND len(y.s) > 0 AND len(x.s) * 100 >= len(y.s) * 80 AND len(y.s) * 100 >= len(x.s) * 80
+  AND len(list_intersect(x.s, y.s)) * 180 >= (len(x.s) + len(y.s)) * 80),
+el AS (SELECT a.query_id, u, v FROM lk JOIN cand a ON a.chunk_id = u JOIN cand b ON b.chunk_id = v AND a.query_id = b.query_id),
+e2 AS (SELECT query_id, u, v FROM el UNION SELECT query_id, v, u FROM el),
+cl AS (SELECT query_id, u, v FROM e2 UNION SELECT cl.query_id, cl.u, e2.v FROM cl JOIN e2 ON cl.query_id = e2.query_id AND cl.v = e2.u),
+rk AS (SELECT r.*, coalesce((SELECT min(least(u, v)) FROM cl WHERE cl.query_id = r.query_id AND cl.u = r.chunk_id), chunk_id) AS cluster FROM ranked r),
+best AS (SELECT query_id, cluster, arg_min(chunk_id, rank) AS chunk_id, arg_min(final, rank) AS final, min(rank) AS place, count(*) AS members FROM rk GROUP BY ALL)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank, chunk_id, final, members FROM best QUALIFY rank <= {CFG.top_k}""")
+def retrieve_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As retrieve_topk with near duplicates merged before the cut, so that k results are left."""
+    fused = written(fusion.fuse(_candidates(spark, sf_dir), CFG))
+    docs = tables.docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text")
+    of = clusters.clusters(clusters.similar(fused, docs))
+    return clusters.rank_clusters(fused, of, CFG.top_k).select("query_id", "rank", "chunk_id", "final", "members")
+
+
 @query(r"""WITH w AS (SELECT item_id AS query_id, list_filter(string_split(trim(regexp_replace(lower('Lang:EN  Source:src' || item_id || ' ' || text || ' lang:de'), '\s+', ' ', 'g')), ' '), lambda w: w <> '') AS w FROM benchmark)
 SELECT query_id, array_to_string(list_filter(w, lambda x: NOT regexp_matches(x, '^[a-z_]+:[^:]+$')), ' ') AS text, 'de' AS lang, 'src' || query_id AS source FROM w""")
 def query_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

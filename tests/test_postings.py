@@ -28,14 +28,14 @@ def test_equals_a_scan(spark, block, k):
     queries = [(1, "w0 w1 w59 w40"), (2, "w1"), (3, "nothing here"), (4, ""), (5, " ".join(words)), (6, "w58 w58 w0")]
     d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     q = spark.createDataFrame(queries, "query_id long, text string")
-    assert rows(postings.Search(index(d, block), q, k, block=block).results()) == rows(lexical.top(lexical.bm25(d, q), k))
+    assert rows(postings.Search(index(d, block), lexical.query_terms(q), k, block=block).results()) == rows(lexical.top(lexical.bm25(d, q), k))
 
 
 def test_reads_part_of_the_blocks(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     queries = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").selectExpr("item_id AS query_id", "text")
     found = index(docs, postings.BLOCK)
-    search = postings.Search(found, queries, 10)
+    search = postings.Search(found, lexical.query_terms(queries), 10)
     assert rows(search.results()) == rows(lexical.top(lexical.bm25(docs, queries), 10))
     share = search.share_read()
     print("share of blocks read", share)
@@ -46,7 +46,7 @@ def test_reads_part_of_the_blocks(spark):
 def test_empty_corpus(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     q = spark.createDataFrame([(1, "a")], "query_id long, text string")
-    assert postings.Search(index(none, 8), q, 5).results().collect() == []
+    assert postings.Search(index(none, 8), lexical.query_terms(q), 5).results().collect() == []
 
 
 def test_a_stored_table_follows_its_source(spark, tmp_path):
