@@ -191,17 +191,26 @@ def digests(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     of = near_duplicates(found, percent)
     let_go(spark)
     asked, asked_path = written(successors(found))
-    # Both uses of texts and sets have the same columns, so each is shuffled once.
-    sets = found.select("name", "sigs").dropDuplicates(["name"])
+    removed(spark, path)
+    let_go(spark)
+    # Signatures are made again from the texts, which travel anyway, rather than sent beside them; both uses of the
+    # texts have the same columns, so they are shuffled once.
     texts = _named(docs).select("name", "text")
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     wanted = asked.select(F.col("next").alias("name"), F.col("name").alias("asker"), "doc_id", "n_chars", quarter.alias("quarter"))
-    heads = texts.join(wanted, "name").join(sets, "name").select("asker", "doc_id", "n_chars", "quarter", F.left("text", F.col("quarter")).alias("head"), F.col("sigs").alias("next_sigs")).dropDuplicates(["asker"])
-    rows = texts.join(heads.withColumnRenamed("asker", "name"), "name").join(sets, "name")
+    heads = texts.join(wanted, "name").select("asker", "doc_id", "n_chars", "quarter", F.left("text", F.col("quarter")).alias("head"), signatures(F.col("text")).alias("next_sigs")).dropDuplicates(["asker"])
+    rows = texts.join(heads.withColumnRenamed("asker", "name"), "name")
     edited = rows.withColumn("edited", F.concat(F.left("text", (F.col("n_chars") - F.col("quarter")).cast("int")), F.col("head")))
-    compared = let(signatures(F.col("edited")), lambda s: F.struct(fingerprint(s).alias("edited_fingerprint"), likeness(F.col("sigs"), s).alias("near_edited")))
-    out = edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("sigs")).alias("fingerprint"), compared.alias("e"), likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"), F.size("sigs").cast("long").alias("n_signatures"))
-    out, _ = written(out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "e.*", "near_next", "n_signatures"))
-    removed(spark, path)
+
+    def compared(s: Column) -> Column:
+        first, second = s["text"], s["edited"]
+        return F.struct(
+            fingerprint(first).alias("fingerprint"), fingerprint(second).alias("edited_fingerprint"), likeness(first, second).alias("near_edited"),
+            likeness(first, F.col("next_sigs")).alias("near_next"), F.size(first).cast("long").alias("n_signatures"),
+        )
+
+    both = F.struct(signatures(F.col("text")).alias("text"), signatures(F.col("edited")).alias("edited"))
+    out = edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), let(both, compared).alias("e"))
+    out, _ = written(out.select("doc_id", "n_chars", "edited_sha256", "e.*"))
     removed(spark, asked_path)
     return _with_components(out, of).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_signatures", "component_id", "kept")
