@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions import text as T
 from fathom.functions import vectors as V
-from fathom.operators import chunkers, pages
+from fathom.operators import chunkers, html_tree, pages
 from fathom.plans import tables
 from fathom.plans.registry import query
 from fathom.session import load
@@ -31,6 +31,26 @@ def html_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunkers.html_outline(load(spark, sf_dir, "pages"))
 
 
+_VOID = ", ".join(f"'{v}'" for v in html_tree.VOID)
+_TAG = html_tree.TAG.replace("'", "''")
+_TREE = rf"""m AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, {_NOISE}, '', 'g'), '{html_tree.DECLARATION}', '', 'g'), '{_TAG}', chr(1) || '\1\2' || chr(2), 'g') AS h FROM pages),
+e AS (SELECT page_id, generate_subscripts(string_split(h, chr(1)), 1) - 1 AS pos, unnest(string_split(h, chr(1))) AS piece FROM m),
+t AS (SELECT page_id, pos, ltrim(lower(split_part(piece, chr(2), 1)), '/') AS name, starts_with(piece, '/') AS shut, trim(regexp_replace(split_part(piece, chr(2), 2), '\s+', ' ', 'g')) AS text FROM e WHERE pos > 0),
+s AS (SELECT *, row_number() OVER (PARTITION BY page_id, name ORDER BY pos) AS r FROM t WHERE name NOT IN ({_VOID})),
+f AS (SELECT page_id, name, r, pos, CASE WHEN shut THEN [] ELSE [pos] END AS open, NULL::BIGINT AS closes FROM s WHERE r = 1
+  UNION ALL SELECT s.page_id, s.name, s.r, s.pos, CASE WHEN s.shut THEN f.open[:len(f.open) - 1] ELSE list_append(f.open, s.pos) END, CASE WHEN s.shut THEN f.open[len(f.open)] END FROM f JOIN s ON s.page_id = f.page_id AND s.name = f.name AND s.r = f.r + 1),
+p AS (SELECT page_id, pos FROM f WHERE closes IS NOT NULL UNION SELECT page_id, closes FROM f WHERE closes IS NOT NULL),
+o AS (SELECT t.*, p.pos IS NOT NULL AS pair, row_number() OVER (PARTITION BY t.page_id ORDER BY t.pos) AS r FROM t LEFT JOIN p ON p.page_id = t.page_id AND p.pos = t.pos),
+g AS (SELECT page_id, r, []::BIGINT[] AS before, CASE WHEN pair AND NOT shut THEN [pos] ELSE [] END AS stack FROM o WHERE r = 1
+  UNION ALL SELECT o.page_id, o.r, g.stack, CASE WHEN o.pair AND o.shut THEN g.stack[:len(g.stack) - 1] WHEN o.pair THEN list_append(g.stack, o.pos) ELSE g.stack END FROM g JOIN o ON o.page_id = g.page_id AND o.r = g.r + 1)"""
+
+
+@query(f"WITH RECURSIVE {_TREE} SELECT page_id, pos, name, len(before) AS depth, before[len(before)] AS parent, pair AS closed, text FROM o JOIN g USING (page_id, r) WHERE NOT shut")
+def html_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every element of the pages with its depth and the element around it; the SQL folds the tags with a stack."""
+    return html_tree.tree(load(spark, sf_dir, "pages"))
+
+
 _ROWS = r"'(?is)<tr(?:\s[^>]*)?>(.*?)</tr>'"
 _CELLS = r"'(?is)<t[dh](?:\s[^>]*)?>(.*?)</t[dh]>'"
 
