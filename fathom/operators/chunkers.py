@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fathom.functions.text import let, tokens
+from fathom.operators import ordered
+from fathom.sources.store import written
 
 #: What goes before blocks are cut.
 NOISE = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->"
@@ -57,6 +59,31 @@ def row_groups(rows: DataFrame, group: str, order: str, size: int) -> DataFrame:
     return rows.withColumn("chunk", F.floor((F.row_number().over(W.partitionBy(group).orderBy(order)) - 1) / size).cast("long"))
 
 
+def sized_row_groups(rows: DataFrame, group: str, order: str, length: Column, per_chunk: int, least: int = 5120) -> DataFrame:
+    """Adds chunk: runs of rows that end with the row by which they are as long as max(least, mean length * per_chunk).
+
+    Where a run that began at a row would end is found for all rows at once from running sums. Which rows begin a run
+    follows by doubling: the rows reached in so many steps lead to those reached in twice as many. The order has no
+    ties; null lengths count as 0.
+    """
+    sized = rows.withColumn("_len", F.coalesce(length, F.lit(0)).cast("long"))
+    mean = sized.groupBy(group).agg(F.greatest(F.lit(float(least)), F.avg("_len") * per_chunk).alias("_size"))
+    summed = ordered.running(sized.join(mean, group), group, order, {"_rn": F.lit(1), "_upto": F.col("_len")})
+    summed = written(summed)
+    ends = summed.select(group, F.col("_upto").cast("double").alias("value"), F.col("_rn").alias("mark"), F.lit(None).cast("long").alias("row"))
+    asks = summed.select(group, (F.col("_upto") - F.col("_len") + F.col("_size")).alias("value"), F.lit(None).cast("long").alias("mark"), F.col("_rn").alias("row"))
+    found = ordered.first_from(ends.unionByName(asks), group, "value", "mark").where("row is not null and first is not null")
+    hop = written(found.select(group, "row", (F.col("first") + 1).alias("next")))
+    reached = summed.where("_rn = 1").select(group, F.col("_rn").alias("row"))
+    while not hop.isEmpty():
+        reached = written(reached.unionByName(reached.join(hop, [group, "row"]).select(group, F.col("next").alias("row"))))
+        further = hop.select(group, F.col("row").alias("next"), F.col("next").alias("after"))
+        hop = written(hop.join(further, [group, "next"]).select(group, "row", F.col("after").alias("next")))
+    starts = summed.join(reached.select(group, F.col("row").alias("_rn"), F.lit(1).alias("_start")), [group, "_rn"], "left")
+    numbered = ordered.running(starts, group, order, {"chunk": F.coalesce("_start", F.lit(0))})
+    return numbered.withColumn("chunk", (F.col("chunk") - 1).cast("long")).select(*rows.columns, "chunk")
+
+
 def gap_sessions(events: DataFrame, gap_seconds: int) -> DataFrame:
     """(user_id, session, n, first_ts, last_ts): events with no gap between them above a limit."""
     w = W.partitionBy("user_id").orderBy("ts", "event_id")

@@ -59,6 +59,7 @@ def merge_layout(items: DataFrame) -> DataFrame:
     return items.groupBy("page").agg(ordered.alias("i")).select("page", F.array_join("i.text", "\n").alias("text"))
 
 
-def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The row of the highest order of each key."""
-    return rows.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))).where("_r = 1").drop("_r")
+def last_wins(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """The row of the highest order of each key; nothing but the winner of a key is held, however many rows it has."""
+    best = rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct("*"), F.struct(*order)).alias("_row"))
+    return best.select("_row.*")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.operators import serving
 from fathom.plans.registry import query
 from fathom.session import load
+from fathom.sources.store import shared_folder
 from fathom.streaming import streams
 
 LIMIT, DAY = 3, 86_400
@@ -99,3 +102,14 @@ def stream_microbatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests in batches that a timer flushes half an hour after their first one, as a stream."""
     found = streams.run_once(spark, sf_dir, "events", lambda e: streams.micro_batches(e, 1800), "append", close="ts")
     return found.select("user_id", "number", "n", F.array_join(F.col("events").cast("array<string>"), ",").alias("events"))
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1")
+def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last turn of each conversation, kept by a stream whose batches can be run again without harm."""
+    base = f"{shared_folder(spark)}/upsert-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations.parquet*")
+    sink = streams.upsert_sink(f"{base}/table", "conv_id", "turn")
+    rows.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
+    return streams.upserted(spark, f"{base}/table", "conv_id", "turn").select("conv_id", "turn", "role", "text")

@@ -121,6 +121,19 @@ def row_group_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunkers.row_groups(load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", "l_linenumber", 3)
 
 
+@query("""WITH RECURSIVE e AS (SELECT event_type, event_id, length(event_id || ',' || user_id || ',' || event_type || ',' || coalesce(props, '')) AS len FROM events),
+z AS (SELECT event_type, greatest(5120.0, avg(len) * 100) AS size FROM e GROUP BY event_type),
+s AS MATERIALIZED (SELECT event_type, event_id, len, row_number() OVER w AS rn, sum(len) OVER w AS upto FROM e WINDOW w AS (PARTITION BY event_type ORDER BY event_id)),
+c AS (SELECT event_type, 0::BIGINT AS chunk, 1::BIGINT AS first, 0::HUGEINT AS base FROM z
+  UNION ALL SELECT c.event_type, c.chunk + 1, n.rn + 1, n.upto FROM c JOIN z USING (event_type), LATERAL (SELECT rn, upto FROM s WHERE s.event_type = c.event_type AND s.upto >= c.base + z.size ORDER BY rn LIMIT 1) n)
+SELECT s.event_type, event_id, chunk FROM s ASOF JOIN c ON s.event_type = c.event_type AND s.rn >= c.first""")
+def row_group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of tables in runs of a least size; the events of each type stand for a file."""
+    rows = load(spark, sf_dir, "events").select("event_type", "event_id", "user_id", "props")
+    line = F.concat(F.col("event_id").cast("string"), F.lit(","), F.col("user_id").cast("string"), F.lit(","), "event_type", F.lit(","), F.coalesce("props", F.lit("")))
+    return chunkers.sized_row_groups(rows, "event_type", "event_id", F.length(line), 100).select("event_type", "event_id", "chunk")
+
+
 @query("""WITH g AS (SELECT user_id, ts, event_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS d FROM events),
 s AS (SELECT user_id, ts, sum(CASE WHEN d > 21600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g)
 SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM s GROUP BY ALL""")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from fathom.operators.pages import last_wins
 from fathom.sources.store import shared_folder
 
 
@@ -58,6 +59,29 @@ def run_once(spark: SparkSession, sf_dir: str, table: str, plan: Callable[[DataF
     return spark.read.schema(result.schema).option("recursiveFileLookup", "true").parquet(f"{base}/out")
 
 
+def upsert_sink(folder: str, key: str, order: str) -> Callable[[DataFrame, int], None]:
+    """A sink for foreachBatch that keeps the last row of each key: every batch has a folder of its own by its number.
+
+    A batch that is run again, as after a failure, takes the place of its first run, so it changes nothing.
+    """
+
+    def sink(batch: DataFrame, number: int) -> None:
+        last_wins(batch.where(F.col(key).isNotNull()), key, order).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return sink
+
+
+def upserted(spark: SparkSession, folder: str, key: str, order: str) -> DataFrame:
+    """The last row of each key over all batches; equal orders go to the later batch."""
+    return last_wins(spark.read.parquet(folder), key, order, "batch").drop("batch")
+
+
+def compacted(spark: SparkSession, folder: str, into: str, key: str, order: str) -> DataFrame:
+    """The same rows as one table in another folder, so that later reads need not go through all batches."""
+    upserted(spark, folder, key, order).write.mode("overwrite").parquet(into)
+    return spark.read.parquet(into)
+
+
 def first_of_content(objects: DataFrame) -> DataFrame:
     """(file_hash): each content once, whatever file brings it; the state holds hashes only."""
     return objects.where("text is not null").select(F.md5("text").alias("file_hash")).dropDuplicates(["file_hash"])

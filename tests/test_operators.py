@@ -154,3 +154,24 @@ def test_near_results_and_passages(spark):
     passages = spark.createDataFrame([(1, "one two three"), (2, "one"), (3, "ne two three"), (4, "not there at all")], "query_id int, passage string")
     found = {(r.query_id, r.doc_id) for r in fusion.containing(docs, passages).collect()}
     assert found == {(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3), (2, 5), (3, 1), (3, 2), (3, 3)}
+
+
+def test_row_groups_by_size(spark):
+    import random
+
+    from fathom.operators import chunkers
+
+    rng = random.Random(1)
+    rows = [(g, i, rng.choice([0, 1, 5, 40, 300])) for g in range(3) for i in range(rng.randrange(1, 200))] + [(9, 1, None)]
+    df = spark.createDataFrame(rows, "g long, i long, n long").repartition(4)
+    got = {(r.g, r.i): r.chunk for r in chunkers.sized_row_groups(df, "g", "i", F.col("n"), 3, 50).collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        mine = sorted((i, n or 0) for x, i, n in rows if x == g)
+        size, chunk, total = max(50, 3 * sum(n for _, n in mine) / len(mine)), 0, 0
+        for i, n in mine:
+            want[g, i] = chunk
+            total += n
+            if total >= size:
+                chunk, total = chunk + 1, 0
+    assert got == want

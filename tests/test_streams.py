@@ -41,3 +41,35 @@ def test_without_closing_only_what_the_watermark_has_passed_comes_out(spark, fol
     rows = {r.event_id: r.ts for r in spark.read.parquet(f"{folder}/events.parquet").where("ts is not null").collect()}
     passed = max(rows.values()) - timedelta(days=3)
     assert 0 < len(got) and {r.event_id for r in got} <= {e for e, ts in rows.items() if ts <= passed}
+
+
+def test_a_batch_run_again_changes_nothing(spark, tmp_path):
+    table = f"{tmp_path}/table"
+    sink = streams.upsert_sink(table, "k", "at")
+    first = spark.createDataFrame([(1, 1, "a"), (1, 3, "b"), (2, 5, "c"), (None, 1, "x")], "k long, at long, v string")
+    second = spark.createDataFrame([(1, 2, "late"), (2, 5, "same"), (3, 1, "new")], "k long, at long, v string")
+    sink(first, 0)
+    sink(second, 1)
+    rows = lambda: sorted(map(tuple, streams.upserted(spark, table, "k", "at").collect()))
+    want = [(1, 3, "b"), (2, 5, "same"), (3, 1, "new")]
+    assert rows() == want
+    sink(second, 1)
+    sink(first, 0)
+    assert rows() == want
+    assert sorted(map(tuple, streams.compacted(spark, table, f"{tmp_path}/one", "k", "at").collect())) == want
+
+
+def test_a_stream_restarted_without_its_last_commit(spark, tmp_path):
+    import shutil
+
+    spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], "k long, at long, v string").write.parquet(f"{tmp_path}/in/0")
+    schema = "k long, at long, v string"
+
+    def run():
+        rows = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
+        rows.writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).foreachBatch(streams.upsert_sink(f"{tmp_path}/table", "k", "at")).start().awaitTermination()
+        return sorted(map(tuple, streams.upserted(spark, f"{tmp_path}/table", "k", "at").collect()))
+
+    want = run()
+    shutil.rmtree(f"{tmp_path}/state/commits")  # as if the driver was lost before it noted the batch as done
+    assert run() == want == [(1, 1, "a"), (2, 1, "b")]
