@@ -119,17 +119,19 @@ def least_reached(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         least = after
 
 
-def dealt(members: DataFrame, of: list[str], tile: int) -> DataFrame:
+def dealt(members: DataFrame, of: list[str], tile: int, weight: str | None = None, heaviest: int = 0) -> DataFrame:
     """The members of lists that hold several components, dealt to groups in which they can be compared; adds tile, i and j.
 
-    members has the columns `of`, which name a list, key and c, its component. The members of a list's largest
+    members has the columns `of`, which name a list, key and c, its component. A tile has so many members on average;
+    with weight, a column of members, it does not weigh more than heaviest either. The members of a list's largest
     component and the others, its strays, lie in tiles of their own. A group (i, j) holds two tiles, of which one or
     both are of strays: members that are connected by the largest component are not dealt to each other, so a few
     strays in a large list cost as much as the list is long.
     """
-    counts = members.groupBy(*of, "c").agg(F.count("*").alias("m"))
+    tiles_of = F.count("*") / tile if weight is None else F.greatest(F.count("*") / tile, F.sum(weight) / heaviest)
+    counts = members.groupBy(*of, "c").agg(tiles_of.alias("m"))
     lists = counts.groupBy(*of).agg(F.max_by("c", F.struct("m", "c")).alias("most"), F.max("m").alias("many"), F.sum("m").alias("m"), F.count("*").alias("parts")).where("parts > 1")
-    tiles = lists.select(*of, "most", F.ceil(F.col("many") / tile).cast("int").alias("many"), F.ceil((F.col("m") - F.col("many")) / tile).cast("int").alias("few"))
+    tiles = lists.select(*of, "most", F.ceil("many").cast("int").alias("many"), F.greatest(F.ceil(F.col("m") - F.col("many") - 1e-6), F.lit(1)).cast("int").alias("few"))
     stray, place = F.col("c") != F.col("most"), F.xxhash64("key", F.lit(1))
     placed = members.join(tiles, of).withColumn("tile", F.when(stray, F.pmod(place, F.col("few"))).otherwise(F.lit(-1) - F.pmod(place, F.col("many"))).cast("int"))
     # The tiles of the largest component have negative numbers.

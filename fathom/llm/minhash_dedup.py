@@ -7,8 +7,9 @@ rarest few of each; only those are listed, the rarest first by the number of ske
 
 Short lists give pairs of classes; the bottom-k of the united sketches estimates their similarity, and what
 may reach the threshold is verified on the full sets. Long lists are never turned into pairs: their members are
-dealt to tiles of bounded size, pairs of tiles count all overlaps of the full sets at once, and each hands on
-one representative for each linked member. Connected components follow.
+compared with one of them, and what that leaves outside a list's largest component is dealt to tiles of bounded
+size, with that component and with each other. A pair of tiles counts all overlaps of the full sets at once and hands
+on one representative for each linked member. Connected components follow.
 
 Exactness: links are confirmed on full sets of 64-bit hashes. Sets of at most MOST_EXACT shingles lose no link;
 for larger ones the listing and the estimate leave MARGIN standard deviations, so that of 100 million pairs just at the
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import bound_batches, components, least_reached, may_hold, written
+from fathom.llm.common import bound_batches, components, dealt, least_reached, may_hold, removed, written
 
 #: Words of a shingle, and the least similarity of a link in hundredths.
 WORDS, PERCENT = 5, 85
@@ -157,40 +158,32 @@ def _similar(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> tuple[np
     return np.nonzero(100 * both >= percent * (sizes - both))
 
 
-def _connected(sets: list[np.ndarray], ids: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each set the least id that it reaches within its tile, and its own id."""
-    order = np.argsort(ids, kind="stable")
-    i, j = _similar([sets[k] for k in order], [sets[k] for k in order], percent)
-    roots = np.empty(len(ids), np.int64)
-    roots[order] = ids[order][least_reached(len(ids), i, j)]
-    return roots, np.asarray(ids)
+def hubs(long: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b): the least representative of each long list with the others of like size; lists of the same documents give few pairs."""
+    hub = long.groupBy("value").agg(F.min(F.struct("rep", "n")).alias("h"))
+    near = (F.col("n") * 100 >= F.col("h.n") * percent) & (F.col("h.n") * 100 >= F.col("n") * percent)
+    return long.join(hub, "value").where((F.col("rep") != F.col("h.rep")) & near).select(F.col("h.rep").alias("a"), F.col("rep").alias("b")).distinct()
 
 
 def compare_tiles(lists: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(rep, root) of the linked members of long lists; lists has value, rep, the list's size m and its hashes in all."""
-    placed = lists.withColumn("tiles", F.ceil(F.greatest(F.col("m") / TILE, F.col("hashes") / TILE_HASHES)).cast("int"))
-    placed = placed.withColumn("tile", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("tiles")).cast("int"))
-    tiled = placed.join(sets, "rep").groupBy("value", "tiles", "tile").agg(F.collect_list(F.struct("rep", "members")).alias("rows"))
-    tiled, _ = written(tiled)
-    pairs = tiled.select("value", F.col("tile").alias("i"), F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("j"))
-    blobs = [tiled.select("value", F.col("tile").alias(x), F.col("rows.rep").alias(f"rep_{x}"), F.col("rows.members").alias(f"members_{x}")) for x in "ij"]
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                a, b = list(row.members_i), list(row.members_j)
-                u, v = _connected(a, row.rep_i, percent)
-                if row.i != row.j:
-                    # What a tile links by itself comes from its pair with itself; here only what joins two of those parts.
-                    roots = u, _connected(b, row.rep_j, percent)[0]
-                    i, j = _similar(a, b, percent)
-                    ids, at = np.unique(np.concatenate([roots[0][i], roots[1][j]]), return_inverse=True)
-                    v, u = ids, ids[least_reached(len(ids), at[: len(i)], at[len(i) :])] if len(ids) else ids
-                on = u != v
-                if on.any():
-                    yield pd.DataFrame({"rep": v[on], "root": u[on]})
-
-    return pairs.join(blobs[0], ["value", "i"]).join(blobs[1], ["value", "j"]).mapInPandas(each, "rep long, root long")
+    """(rep, root): links between components within long lists, one for each linked member of a pair of tiles.
+
+    lists has value, rep, its set's size n and its component c so far. Only members outside a list's largest component
+    are compared with it and with each other.
+    """
+    groups = dealt(lists.withColumnRenamed("rep", "key"), ["value"], TILE, "n", TILE_HASHES)
+
+    def each(rows: pd.DataFrame) -> pd.DataFrame:
+        i, j = rows["i"].iloc[0], rows["j"].iloc[0]
+        a, b = rows[rows["tile"] == i], rows[rows["tile"] == j]
+        u, v = _similar(list(a["members"]), list(b["members"]), percent)
+        apart = a["c"].to_numpy()[u] != b["c"].to_numpy()[v]
+        ids, at = np.unique(np.concatenate([a["rep"].to_numpy()[u[apart]], b["rep"].to_numpy()[v[apart]]]), return_inverse=True)
+        roots = ids[least_reached(len(ids), at[: apart.sum()], at[apart.sum() :])] if len(ids) else ids
+        return pd.DataFrame({"rep": ids[ids != roots], "root": roots[ids != roots]}, dtype=np.int64)
+
+    rows = groups.select("value", "i", "j", "tile", "c", F.col("key").alias("rep")).join(sets, "rep")
+    return rows.groupBy("value", "i", "j").applyInPandas(each, "rep long, root long")
 
 
 def needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -202,19 +195,26 @@ def needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(u, v): confirmed links between classes, enough of them to connect what is linked."""
-    index, _ = written(inverted_lists(reps, percent))
-    sizes = index.groupBy("value").agg(F.count("*").alias("m"), F.sum("n").alias("hashes")).where("m > 1")
+    index, path = written(inverted_lists(reps, percent))
+    sizes = index.groupBy("value").agg(F.count("*").alias("m")).where("m > 1")
     index = index.join(sizes, "value")
-    pairs, _ = written(short_pairs(index.where(F.col("m") <= SHORT), reps, percent))
-    long = index.where(F.col("m") > SHORT).select("value", "rep", "m", "hashes")
+    long, long_path = written(index.where(F.col("m") > SHORT).select("value", "rep", "n"))
+    # The members of a long list are compared with one of them first, which connects near copies of one text.
+    pairs, pairs_path = written(short_pairs(index.where(F.col("m") <= SHORT), reps, percent).union(hubs(long, percent)).distinct())
+    removed(docs.sparkSession, path)
     ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(long.select("rep")).distinct()
-    sets, _ = written(full_sets(needed(docs, ids)).dropDuplicates())
+    sets, sets_path = written(full_sets(needed(docs, ids)).dropDuplicates())
     confirmed = pairs
     for x in "ab":
         confirmed = confirmed.join(sets.select(F.col("rep").alias(x), F.col("members").alias(f"m_{x}")), x)
     both = F.size(F.array_intersect("m_a", "m_b"))
     confirmed = confirmed.where(both * 100 >= (F.size("m_a") + F.size("m_b") - both) * percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    return confirmed.union(compare_tiles(long, sets, percent))
+    found, _ = written(confirmed)
+    rest = long.join(components(found).toDF("rep", "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+    across, _ = written(compare_tiles(rest, sets, percent).toDF("u", "v"))
+    for done in (long_path, pairs_path, sets_path):
+        removed(docs.sparkSession, done)
+    return found.union(across)
 
 
 def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

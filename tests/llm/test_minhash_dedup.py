@@ -68,3 +68,26 @@ def test_long_texts_in_tiles_of_bounded_size(spark, monkeypatch):
     rows = [(i, " ".join(edited(rng, base, 40 * i))) for i in range(14)] + [(20, " ".join(words(rng, 20_000))), (21, " ".join(base)), (None, " ".join(base))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, md.dedup(docs).collect()), key=str) == brute(rows)
+
+
+def test_near_copies_are_compared_with_one_of_them(spark, monkeypatch):
+    monkeypatch.setattr(md, "SHORT", 8)
+    monkeypatch.setattr(md, "TILE", 16)
+    groups = []
+    keep = md.dealt
+
+    def counted(*a):
+        out = keep(*a)
+        groups.extend(r["count"] for r in out.select("value", "i", "j").distinct().groupBy("value").count().collect())
+        return out
+
+    monkeypatch.setattr(md, "dealt", counted)
+    rng = random.Random(17)
+    base = words(rng, 300)
+    # Some edits apart from all others, and copies of a copy, which only others than the hub are similar to.
+    far = edited(rng, base, 12)
+    rows = [(i, " ".join(edited(rng, base, rng.randrange(3)))) for i in range(400)] + [(900 + i, " ".join(edited(rng, far, rng.randrange(14)))) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert sorted(map(tuple, md.dedup(docs).collect()), key=str) == brute(rows)
+    # All pairs of 26 tiles would be 351 for each long value.
+    assert max(groups, default=0) <= 60
