@@ -9,8 +9,8 @@ distinct shingles, also get bands of all their hashes. Slots of two lines are so
 with at least the probability of their similarity (less where their limits differ; tests measure the recall by
 length). Sixteen bands of four slots share no slot; a band without any hash puts its line in no bucket.
 
-Lines of a bucket are compared with its most frequent line, and those that are then not in one component with each
-other, in tiles of bounded size; a pair counts only if the exact Jaccard similarity of the full shingle sets is at
+Lines of a bucket are compared with its most frequent line, and those that are then outside the bucket's largest
+component with that component and each other, in tiles of bounded size; a pair counts only if the exact Jaccard similarity of the full shingle sets is at
 least PERCENT. Components keep their first line, by doc_id, then position.
 
 Lines that are equal after normalisation are one line. Blank lines always stay. Null texts stay null. A null
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions.text import let
-from fathom.llm.common import components, let_go, may_be_among, may_hold, removed, written
+from fathom.llm.common import components, dealt, let_go, may_be_among, may_hold, removed, written
 
 #: Characters of a shingle.
 SHINGLE = 10
@@ -186,15 +186,12 @@ def links(members: DataFrame, norms: DataFrame) -> DataFrame:
     star, _ = written(confirmed(pairs.where(_near("bits_u", "bits_v")).select("u", "v"), norms))
     # What is left: buckets with lines of several components. Their most frequent line has been compared with all.
     rest = members.join(chosen, "band").where("key <> u").select("band", "key").join(components(star).toDF("key", "c"), "key", "left").withColumn("c", F.coalesce("c", "key"))
-    mixed = rest.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("low <> high").select("band", "tiles")
-    own = members.groupBy("key").agg(F.array_sort(F.collect_list("band")).alias("bands"))
-    placed = rest.join(mixed, "band").join(bits, "key", "left").join(own, "key").withColumn("tile", F.pmod(F.xxhash64("key", F.lit(1)), F.col("tiles")).cast("int"))
-    # Each pair of tiles is a group of its own, so that no bucket is compared in one task.
-    dealt = placed.select("band", "key", "c", "bits", "bands", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    dealt = dealt.select("band", "key", "c", "bits", "bands", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")).join(norms, "key")
+    groups, _ = written(dealt(rest, ["band"], TILE))
+    own = members.join(groups.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.array_sort(F.collect_list("band")).alias("bands"))
+    dealt_lines = groups.join(own.join(bits, "key", "left").join(norms, "key"), "key").select("band", "key", "c", "bits", "bands", "tile", "i", "j", "norm")
     # Texts are dealt and become sets where they are compared, so each is hashed once in its group and no set travels.
-    dealt = dealt.repartition("band", "i", "j").withColumn("h", shingles("norm"))
-    a, b = (dealt.select("band", "i", "j", *(F.col(c).alias(f"{c}_{x}") for c in ("key", "c", "bits", "bands", "tile", "h"))) for x in "uv")
+    dealt_lines = dealt_lines.repartition("band", "i", "j").withColumn("h", shingles("norm"))
+    a, b = (dealt_lines.select("band", "i", "j", *(F.col(c).alias(f"{c}_{x}") for c in ("key", "c", "bits", "bands", "tile", "h"))) for x in "uv")
     n, m = F.size("h_u"), F.size("h_v")
     first = a["band"] == F.element_at(F.array_intersect("bands_u", "bands_v"), 1)  # a pair is tested in one of its buckets
     exact = F.size(F.array_intersect("h_u", "h_v")) * (100 + PERCENT) >= (n + m) * PERCENT  # of sets
