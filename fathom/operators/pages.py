@@ -37,6 +37,13 @@ def assemble_pages(documents: DataFrame, cfg: IngestConfig = IngestConfig()) ->
     return each.select(F.concat("document_id", F.lit("_"), F.col("page_number").cast("string")).alias("chunk_id"), "document_id", "page_number", "text")
 
 
+def page_numbers(documents: DataFrame, cfg: IngestConfig = IngestConfig()) -> DataFrame:
+    """(chunk_id, document_id, page_number) of the pages that assemble_pages makes, from the number of lines alone."""
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    each = documents.select("document_id", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(lines / cfg.lines_per_page))).alias("page_number"))
+    return each.select(F.concat("document_id", F.lit("_"), F.col("page_number").cast("string")).alias("chunk_id"), "document_id", "page_number")
+
+
 def dedupe_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, line): the first of each document's lines that are equal but for case and edges."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))

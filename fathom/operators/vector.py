@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,11 +14,51 @@ from fathom.operators.lexical import top
 SCORES = {"dot": V.dot, "cosine": V.cosine, "l2": lambda a, b: -V.l2(a, b)}
 
 
+#: Queries of a block and rows of a tile on average; each block meets each tile once.
+BLOCK, TILE = 512, 8192
+SQUARES = {"dot": lambda x, q: x @ q.T, "cosine": lambda x, q: _ratio(x @ q.T, np.outer(_norms(x), _norms(q))), "l2": lambda x, q: -np.sqrt(np.stack([((x - y) ** 2).sum(1) for y in q], 1))}
+
+
+def _norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(1))
+
+
+def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.divide(a, b, out=np.full(a.shape, np.nan), where=b != 0)
+
+
+def _best(k: int, metric: str):
+    def best(pair: pd.DataFrame) -> pd.DataFrame:
+        asked, held = pair[pair["is_query"]], pair[~pair["is_query"]]
+        out = []
+        if len(asked) and len(held):
+            q, x = (np.stack(part["embedding"].to_numpy()).astype(float) for part in (asked, held))
+            ids = held["id"].to_numpy()
+            scores = np.round(SQUARES[metric](x, q), 6)
+            for query_id, score in zip(asked["id"], scores.T, strict=True):
+                known = np.nonzero(~np.isnan(score))[0]
+                first = known[np.lexsort((ids[known], -score[known]))[:k]]
+                out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[first], "score": score[first]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+
+    return best
+
+
 def search(rows: DataFrame, queries: DataFrame, k: int, metric: str = "dot") -> DataFrame:
-    """(query_id, vec_id, score, rank): the k best of all rows for each query; distances are negated."""
-    q = queries.select("query_id", F.col("embedding").alias("q"))
-    scored = rows.select("vec_id", "embedding").crossJoin(q).select("query_id", "vec_id", F.round(SCORES[metric](F.col("embedding"), F.col("q")), 6).alias("score"))
-    return top(scored.where("score is not null"), k, "vec_id")
+    """(query_id, vec_id, score, rank): the k best of all rows for each query; distances are negated.
+
+    Blocks of queries meet tiles of rows, and a pair of them hands on the k best rows of each query only. Vectors of
+    another length than a query's, with null components or null are not found. Ids are whole numbers.
+    """
+    usable = lambda df: df.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull()))
+    x, q = usable(rows.select("vec_id", "embedding")), usable(queries.select("query_id", "embedding"))
+    tiles, blocks = (max(1, -(-df.count() // size)) for df, size in ((x, TILE), (q, BLOCK)))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+    held = x.select(F.pmod(F.xxhash64("vec_id"), F.lit(tiles)).alias("tile"), F.explode(upto(blocks)).alias("block"), F.lit(False).alias("is_query"), F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = q.select(F.explode(upto(tiles)).alias("tile"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), F.lit(True).alias("is_query"), F.col("query_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    pairs = held.unionByName(asked).withColumn("dim", F.size("embedding"))
+    found = pairs.groupBy("tile", "block", "dim").applyInPandas(_best(k, metric), "query_id long, vec_id long, score double")
+    return top(found, k, "vec_id")
 
 
 def search_allowed(rows: DataFrame, queries: DataFrame, allow: DataFrame, k: int, metric: str = "dot") -> DataFrame:

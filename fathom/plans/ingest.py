@@ -84,6 +84,10 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.assemble_pages(pages.unique_documents(tables.docs(spark, sf_dir)))
 
 
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.link_pages(pages.page_numbers(pages.unique_documents(tables.docs(spark, sf_dir))))
+
+
 @query(f"WITH {_PAGES} SELECT chunk_id, document_id, page_number, text FROM pages")
 def page_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page chunks of each distinct document."""
@@ -100,19 +104,19 @@ def page_header_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_PAGES} SELECT chunk_id, parent_id, previous_id, next_id FROM linked")
 def chunk_links_lag_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Previous and next chunks in page order."""
-    return chunks.link_pages(_pages(spark, sf_dir)).select("chunk_id", *chunks.LINKS)
+    return _links(spark, sf_dir).select("chunk_id", *chunks.LINKS)
 
 
 @query(f"WITH {_PAGES} SELECT src, dst, relation FROM edges")
 def build_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structural edges of all chunks."""
-    return chunks.edges(chunks.link_pages(_pages(spark, sf_dir)))
+    return chunks.edges(_links(spark, sf_dir))
 
 
 @query(f"WITH {_PAGES} SELECT relation, count(*) AS n FROM edges WHERE dst NOT IN (SELECT chunk_id FROM pages) GROUP BY relation")
 def dangling_edge_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges to chunks that do not exist, by relation."""
-    linked = chunks.link_pages(_pages(spark, sf_dir))
+    linked = _links(spark, sf_dir)
     return chunks.dangling(chunks.edges(linked), linked).groupBy("relation").agg(F.count("*").alias("n"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions import text as T
-from fathom.operators import chunkers, pages
+from fathom.operators import chunkers, pages, sentences
 from fathom.plans import tables
 from fathom.plans.registry import query
 from fathom.session import load
@@ -140,3 +140,20 @@ SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n, min(ts) AS fi
 def gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events in sessions that end after six silent hours."""
     return chunkers.gap_sessions(load(spark, sf_dir, "events"), 21_600)
+
+
+_WORDS = r"""w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS word, unnest(list_append(w[2:], '')) AS nxt FROM w WHERE len(w) > 0),
+y AS (SELECT doc_id, pos, word, regexp_matches(nxt, '^\p{Ll}') AS low, lower(rtrim(word, '.')) AS name FROM x),
+ab AS (SELECT name FROM y WHERE regexp_matches(word, '^\p{L}{1,5}\.?$') GROUP BY name HAVING count(*) FILTER (WHERE ends_with(word, '.')) > 1 AND count(*) FILTER (WHERE ends_with(word, '.')) * 100 >= count(*) * 80
+  AND count(*) FILTER (WHERE ends_with(word, '.') AND low) * 100 >= count(*) FILTER (WHERE ends_with(word, '.')) * 20),
+cut AS (SELECT doc_id, pos FROM y WHERE regexp_matches(word, '[.!?]["'')\]]*$') AND NOT low AND NOT (regexp_matches(word, '^\p{L}+\.$') AND name IN (SELECT name FROM ab))
+  UNION SELECT doc_id, len(w) - 1 FROM w WHERE len(w) > 0),
+s AS (SELECT y.doc_id, y.pos, word, coalesce(sum(CASE WHEN cut.pos IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY y.doc_id ORDER BY y.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS sentence
+  FROM y LEFT JOIN cut ON cut.doc_id = y.doc_id AND cut.pos = y.pos)"""
+
+
+@query(f"""WITH {_WORDS} SELECT doc_id, sentence // 3 AS "window", count(DISTINCT sentence) AS sentences, string_agg(word, ' ' ORDER BY pos) AS text FROM s GROUP BY ALL""")
+def sentence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of three sentences of whole texts."""
+    return sentences.windows(tables.docs(spark, sf_dir), 3)
