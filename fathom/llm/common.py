@@ -119,14 +119,13 @@ def least_reached(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         least = after
 
 
-def dealt(members: DataFrame, of: list[str], tile: int, weight: str | None = None, heaviest: int = 0) -> DataFrame:
-    """The members of lists that hold several components, dealt to groups in which they can be compared; adds tile, i and j.
+def tiled(members: DataFrame, of: list[str], tile: int, weight: str | None = None, heaviest: int = 0) -> DataFrame:
+    """The members of lists that hold several components, in tiles; adds tile, and many and few, the numbers of tiles of a list.
 
     members has the columns `of`, which name a list, key and c, its component. A tile has so many members on average;
     with weight, a column of members, it does not weigh more than heaviest either. The members of a list's largest
-    component and the others, its strays, lie in tiles of their own. A group (i, j) holds two tiles, of which one or
-    both are of strays: members that are connected by the largest component are not dealt to each other, so a few
-    strays in a large list cost as much as the list is long.
+    component lie in `many` tiles with negative numbers, the others, its strays, in `few` tiles from 0 on. Members that
+    are connected by the largest component need not meet, so only pairs with a tile of strays have to be compared.
     """
     tiles_of = F.count("*") / tile if weight is None else F.greatest(F.count("*") / tile, F.sum(weight) / heaviest)
     counts = members.groupBy(*of, "c").agg(tiles_of.alias("m"))
@@ -134,7 +133,15 @@ def dealt(members: DataFrame, of: list[str], tile: int, weight: str | None = Non
     tiles = lists.select(*of, "most", F.ceil("many").cast("int").alias("many"), F.greatest(F.ceil(F.col("m") - F.col("many") - 1e-6), F.lit(1)).cast("int").alias("few"))
     stray, place = F.col("c") != F.col("most"), F.xxhash64("key", F.lit(1))
     placed = members.join(tiles, of).withColumn("tile", F.when(stray, F.pmod(place, F.col("few"))).otherwise(F.lit(-1) - F.pmod(place, F.col("many"))).cast("int"))
-    # The tiles of the largest component have negative numbers.
-    other = F.explode(F.sequence(F.when(stray, -F.col("many")).otherwise(F.lit(0)), F.col("few") - 1))
+    return placed.select(*members.columns, "tile", "many", "few")
+
+
+def dealt(members: DataFrame, of: list[str], tile: int) -> DataFrame:
+    """The tiled members, once for each pair of tiles (i, j) that has to be compared; adds tile, i and j.
+
+    A few strays in a large list so cost as much as the list is long.
+    """
+    placed = tiled(members, of, tile)
+    other = F.explode(F.sequence(F.when(F.col("tile") >= 0, -F.col("many")).otherwise(F.lit(0)), F.col("few") - 1))
     rows = placed.select(*members.columns, "tile", other.alias("other"))
     return rows.withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")}).drop("other")

@@ -7,7 +7,7 @@ rarest few of each; only those are listed, the rarest first by the number of ske
 
 Short lists give pairs of classes; the bottom-k of the united sketches estimates their similarity, and what
 may reach the threshold is verified on the full sets. Long lists are never turned into pairs: their members are
-compared with one of them, and what that leaves outside a list's largest component is dealt to tiles of bounded
+compared with a few central ones, and what that leaves outside a list's largest component is dealt to tiles of bounded
 size, with that component and with each other. A pair of tiles counts all overlaps of the full sets at once and hands
 on one representative for each linked member. Connected components follow.
 
@@ -28,9 +28,10 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fathom.llm.common import bound_batches, components, dealt, least_reached, may_hold, removed, written
+from fathom.llm.common import bound_batches, components, least_reached, may_hold, removed, tiled, written
 
 #: Words of a shingle, and the least similarity of a link in hundredths.
 WORDS, PERCENT = 5, 85
@@ -40,6 +41,8 @@ K, MARGIN = 96, 6.0
 MOST_EXACT = K * PERCENT // 100
 #: Members of a list that gives pairs; members and hashes of a tile on average; shared values multiplied at once.
 SHORT, TILE, TILE_HASHES, COLUMNS = 48, 192, 400_000, 8192
+#: Members of a long list that all its members are compared with first.
+HUBS = 8
 #: Words remembered in a task.
 REMEMBERED = 100_000
 
@@ -159,10 +162,23 @@ def _similar(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> tuple[np
 
 
 def hubs(long: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): the least representative of each long list with the others of like size; lists of the same documents give few pairs."""
-    hub = long.groupBy("value").agg(F.min(F.struct("rep", "n")).alias("h"))
-    near = (F.col("n") * 100 >= F.col("h.n") * percent) & (F.col("h.n") * 100 >= F.col("n") * percent)
-    return long.join(hub, "value").where((F.col("rep") != F.col("h.rep")) & near).select(F.col("h.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    """(a, b): the HUBS most central representatives of each long list with its others of like size.
+
+    Those that are in the most and longest lists are the least edited copies. Lists of the same documents have the same
+    ones, and so give few pairs.
+    """
+    central = long.groupBy("rep", "n").agg(F.sum("m").alias("central"))
+    best = W.partitionBy("value").orderBy(F.desc("central"), "rep")
+    chosen = long.join(central, ["rep", "n"]).withColumn("place", F.row_number().over(best)).where(F.col("place") <= HUBS)
+    of = chosen.select("value", F.col("rep").alias("a"), F.col("n").alias("n_a"))
+    near = (F.col("n") * 100 >= F.col("n_a") * percent) & (F.col("n_a") * 100 >= F.col("n") * percent)
+    met = long.join(of, "value").where((F.col("rep") != F.col("a")) & near)
+    return met.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
+
+
+def tile_pairs(tiles: DataFrame) -> DataFrame:
+    """(value, i, j): the pairs of a list's tiles that have to be compared; i is one of strays, j no later one or one of the rest."""
+    return tiles.where("tile >= 0").select("value", F.col("tile").alias("i"), F.explode(F.sequence(-F.col("many"), F.col("tile"))).alias("j"))
 
 
 def compare_tiles(lists: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -171,19 +187,21 @@ def compare_tiles(lists: DataFrame, sets: DataFrame, percent: int = PERCENT) ->
     lists has value, rep, its set's size n and its component c so far. Only members outside a list's largest component
     are compared with it and with each other.
     """
-    groups = dealt(lists.withColumnRenamed("rep", "key"), ["value"], TILE, "n", TILE_HASHES)
+    placed = tiled(lists.withColumnRenamed("rep", "key"), ["value"], TILE, "n", TILE_HASHES).withColumnRenamed("key", "rep")
+    tiles, _ = written(placed.join(sets, "rep").groupBy("value", "tile", "many").agg(F.collect_list(F.struct("rep", "c", "members")).alias("rows")))
+    blobs = [tiles.select("value", F.col("tile").alias(x), *(F.col(f"rows.{c}").alias(f"{c}_{x}") for c in ("rep", "c", "members"))) for x in "ij"]
 
-    def each(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = rows["i"].iloc[0], rows["j"].iloc[0]
-        a, b = rows[rows["tile"] == i], rows[rows["tile"] == j]
-        u, v = _similar(list(a["members"]), list(b["members"]), percent)
-        apart = a["c"].to_numpy()[u] != b["c"].to_numpy()[v]
-        ids, at = np.unique(np.concatenate([a["rep"].to_numpy()[u[apart]], b["rep"].to_numpy()[v[apart]]]), return_inverse=True)
-        roots = ids[least_reached(len(ids), at[: apart.sum()], at[apart.sum() :])] if len(ids) else ids
-        return pd.DataFrame({"rep": ids[ids != roots], "root": roots[ids != roots]}, dtype=np.int64)
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                u, v = _similar(list(row.members_i), list(row.members_j), percent)
+                apart = row.c_i[u] != row.c_j[v]
+                ids, at = np.unique(np.concatenate([row.rep_i[u[apart]], row.rep_j[v[apart]]]), return_inverse=True)
+                if len(ids):
+                    roots = ids[least_reached(len(ids), at[: apart.sum()], at[apart.sum() :])]
+                    yield pd.DataFrame({"rep": ids[ids != roots], "root": roots[ids != roots]})
 
-    rows = groups.select("value", "i", "j", "tile", "c", F.col("key").alias("rep")).join(sets, "rep")
-    return rows.groupBy("value", "i", "j").applyInPandas(each, "rep long, root long")
+    return tile_pairs(tiles).join(blobs[0], ["value", "i"]).join(blobs[1], ["value", "j"]).mapInPandas(each, "rep long, root long")
 
 
 def needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -198,8 +216,8 @@ def links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame
     index, path = written(inverted_lists(reps, percent))
     sizes = index.groupBy("value").agg(F.count("*").alias("m")).where("m > 1")
     index = index.join(sizes, "value")
-    long, long_path = written(index.where(F.col("m") > SHORT).select("value", "rep", "n"))
-    # The members of a long list are compared with one of them first, which connects near copies of one text.
+    long, long_path = written(index.where(F.col("m") > SHORT).select("value", "rep", "n", "m"))
+    # The members of a long list are compared with a few of them first, which connects near copies of one text.
     pairs, pairs_path = written(short_pairs(index.where(F.col("m") <= SHORT), reps, percent).union(hubs(long, percent)).distinct())
     removed(docs.sparkSession, path)
     ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(long.select("rep")).distinct()
@@ -210,7 +228,7 @@ def links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame
     both = F.size(F.array_intersect("m_a", "m_b"))
     confirmed = confirmed.where(both * 100 >= (F.size("m_a") + F.size("m_b") - both) * percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
     found, _ = written(confirmed)
-    rest = long.join(components(found).toDF("rep", "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+    rest = long.select("value", "rep", "n").join(components(found).toDF("rep", "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
     across, _ = written(compare_tiles(rest, sets, percent).toDF("u", "v"))
     for done in (long_path, pairs_path, sets_path):
         removed(docs.sparkSession, done)

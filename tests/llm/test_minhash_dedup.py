@@ -74,14 +74,14 @@ def test_near_copies_are_compared_with_one_of_them(spark, monkeypatch):
     monkeypatch.setattr(md, "SHORT", 8)
     monkeypatch.setattr(md, "TILE", 16)
     groups = []
-    keep = md.dealt
+    keep = md.tile_pairs
 
-    def counted(*a):
-        out = keep(*a)
-        groups.extend(r["count"] for r in out.select("value", "i", "j").distinct().groupBy("value").count().collect())
+    def counted(tiles):
+        out = keep(tiles)
+        groups.extend(r["count"] for r in out.groupBy("value").count().collect())
         return out
 
-    monkeypatch.setattr(md, "dealt", counted)
+    monkeypatch.setattr(md, "tile_pairs", counted)
     rng = random.Random(17)
     base = words(rng, 300)
     # Some edits apart from all others, and copies of a copy, which only others than the hub are similar to.
