@@ -11,12 +11,12 @@ from fathom.functions import vectors as V
 from fathom.operators.filters import has
 from fathom.operators.lexical import top
 
-SCORES = {"dot": V.dot, "cosine": V.cosine, "l2": lambda a, b: -V.l2(a, b)}
+COLUMNS = {"dot": V.dot, "cosine": V.cosine, "l2": lambda a, b: -V.l2(a, b)}
 
 
-#: Queries of a block and rows of a tile on average; each block meets each tile once.
-BLOCK, TILE = 512, 8192
-SQUARES = {"dot": lambda x, q: x @ q.T, "cosine": lambda x, q: _ratio(x @ q.T, np.outer(_norms(x), _norms(q))), "l2": lambda x, q: -np.sqrt(np.stack([((x - y) ** 2).sum(1) for y in q], 1))}
+#: Queries of a block and rows of a tile on average, each block meets each tile once; and queries that are scored at once.
+BLOCK, TILE, AT_ONCE = 8192, 8192, 256
+SCORES = {"dot": lambda x, q: x @ q.T, "cosine": lambda x, q: _ratio(x @ q.T, np.outer(_norms(x), _norms(q))), "l2": lambda x, q: -np.sqrt(np.stack([((x - y) ** 2).sum(1) for y in q], 1))}
 
 
 def _norms(x: np.ndarray) -> np.ndarray:
@@ -33,12 +33,13 @@ def _best(k: int, metric: str):
         out = []
         if len(asked) and len(held):
             q, x = (np.stack(part["embedding"].to_numpy()).astype(float) for part in (asked, held))
-            ids = held["id"].to_numpy()
-            scores = np.round(SQUARES[metric](x, q), 6)
-            for query_id, score in zip(asked["id"], scores.T, strict=True):
-                known = np.nonzero(~np.isnan(score))[0]
-                first = known[np.lexsort((ids[known], -score[known]))[:k]]
-                out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[first], "score": score[first]}))
+            ids, asking = held["id"].to_numpy(), asked["id"].to_numpy()
+            for low in range(0, len(q), AT_ONCE):
+                scores = np.round(SCORES[metric](x, q[low : low + AT_ONCE]), 6)
+                for query_id, score in zip(asking[low : low + AT_ONCE], scores.T, strict=True):
+                    known = np.nonzero(~np.isnan(score))[0]
+                    first = known[np.lexsort((ids[known], -score[known]))[:k]]
+                    out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[first], "score": score[first]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
     return best
@@ -68,7 +69,7 @@ def search_allowed(rows: DataFrame, queries: DataFrame, allow: DataFrame, k: int
     """
     q = queries.join(allow, "query_id").select("query_id", F.col("embedding").alias("q"), "bucket", "bits")
     met = rows.select("vec_id", "embedding").withColumn("bucket", F.bitmap_bucket_number("vec_id")).join(q, "bucket").where(has("bits", F.bitmap_bit_position("vec_id")))
-    scored = met.select("query_id", "vec_id", F.round(SCORES[metric](F.col("embedding"), F.col("q")), 6).alias("score"))
+    scored = met.select("query_id", "vec_id", F.round(COLUMNS[metric](F.col("embedding"), F.col("q")), 6).alias("score"))
     return top(scored.where("score is not null"), k, "vec_id")
 
 

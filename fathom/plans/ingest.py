@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from fathom.plans import tables
 from fathom.plans.registry import query
 from fathom.session import load
 from fathom.sources import chunks, ingest
+from fathom.sources.store import shared_folder
 
 _EXT = "[" + ", ".join(f"'{e}'" for e in tables.EXTENSIONS) + "]"
 _RAW = f"raw AS (SELECT doc_id, 'data/raw/' || source || '/' || doc_id || '.' || {_EXT}[doc_id % {len(tables.EXTENSIONS)} + 1] AS raw_key, text FROM documents WHERE text IS NOT NULL)"
@@ -132,3 +135,21 @@ def embedding_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def valid_text_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with enough text to need no OCR."""
     return tables.docs(spark, sf_dir).select("doc_id", T.is_valid_text(F.col("text")).alias("valid"))
+
+
+#: Documents of an object, by id.
+PER_OBJECT = 500
+
+
+@query(f"""SELECT source, doc_id // {PER_OBJECT} AS part, count(*) AS n, sum(strlen(doc_id || ':' || md5(text)) + 1)::BIGINT AS bytes, md5(string_agg(doc_id || ':' || md5(text), chr(10) ORDER BY doc_id) || chr(10)) AS file_hash
+FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY ALL""")
+def object_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects listed and read back: the documents of each source are written as text objects of a bounded number of lines first."""
+    folder = f"{shared_folder(spark)}/objects-{uuid.uuid4().hex}"
+    line = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.md5("text"))
+    lines = tables.docs(spark, sf_dir).where("text is not null and source is not null").select("source", F.floor(F.col("doc_id") / PER_OBJECT).alias("part"), "doc_id", line.alias("value"))
+    lines.repartition("source", "part").sortWithinPartitions("source", "part", "doc_id").drop("doc_id").write.partitionBy("source", "part").text(folder)
+    found = ingest.list_raw(spark, folder, "*.txt")
+    place = lambda name: F.regexp_extract("path", f"/{name}=([^/]*)/", 1)
+    count = F.size(F.split(F.col("content").cast("string"), "\n", -1)) - 1
+    return found.select(place("source").alias("source"), place("part").cast("long").alias("part"), count.cast("long").alias("n"), F.col("length").alias("bytes"), ingest.content_hash(F.col("content")).alias("file_hash"))
