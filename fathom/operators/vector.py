@@ -55,7 +55,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int, metric: str = "dot") ->
     x, q = usable(rows.select("vec_id", "embedding")), usable(queries.select("query_id", "embedding"))
     tiles, blocks = (max(1, -(-df.count() // size)) for df, size in ((x, TILE), (q, BLOCK)))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
-    held = x.select(F.pmod(F.xxhash64("vec_id"), F.lit(tiles)).alias("tile"), F.explode(upto(blocks)).alias("block"), F.lit(False).alias("is_query"), F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    # Rows of one id, of which there may be many, go to different tiles.
+    held = x.select(F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(tiles)).alias("tile"), F.explode(upto(blocks)).alias("block"), F.lit(False).alias("is_query"), F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
     asked = q.select(F.explode(upto(tiles)).alias("tile"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), F.lit(True).alias("is_query"), F.col("query_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
     pairs = held.unionByName(asked).withColumn("dim", F.size("embedding"))
     found = pairs.groupBy("tile", "block", "dim").applyInPandas(_best(k, metric), "query_id long, vec_id long, score double")
