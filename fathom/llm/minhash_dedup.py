@@ -170,10 +170,12 @@ def hubs(long: DataFrame, percent: int = PERCENT) -> DataFrame:
     central = long.groupBy("rep", "n").agg(F.sum("m").alias("central"))
     best = W.partitionBy("value").orderBy(F.desc("central"), "rep")
     chosen = long.join(central, ["rep", "n"]).withColumn("place", F.row_number().over(best)).where(F.col("place") <= HUBS)
-    of = chosen.select("value", F.col("rep").alias("a"), F.col("n").alias("n_a"))
-    near = (F.col("n") * 100 >= F.col("n_a") * percent) & (F.col("n_a") * 100 >= F.col("n") * percent)
-    met = long.join(of, "value").where((F.col("rep") != F.col("a")) & near)
-    return met.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
+    of = chosen.groupBy("value").agg(F.sort_array(F.collect_list(F.struct("rep", "n"))).alias("hubs"))
+    # A representative gathers the hubs of all its lists before it meets them, so each of its pairs is made once.
+    met = long.join(of, "value").groupBy("rep", "n").agg(F.array_distinct(F.flatten(F.collect_set("hubs"))).alias("hubs"))
+    near = F.filter("hubs", lambda h: (F.col("n") * 100 >= h["n"] * percent) & (h["n"] * 100 >= F.col("n") * percent) & (F.col("rep") != h["rep"]))
+    pairs = met.select("rep", F.explode(near).alias("h"))
+    return pairs.select(F.least("rep", "h.rep").alias("a"), F.greatest("rep", "h.rep").alias("b")).distinct()
 
 
 def tile_pairs(tiles: DataFrame) -> DataFrame:
