@@ -30,10 +30,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _files(spark: SparkSession, path: str) -> tuple:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def _state(spark: SparkSession, path: str) -> tuple:
     """Size, number of files and time of a table, by which a change is noticed."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files, where = _files(spark, path)
     summary = files.getContentSummary(where)
     return summary.getLength(), summary.getFileCount(), files.getFileStatus(where).getModificationTime()
 
@@ -44,7 +48,9 @@ def stored(spark: SparkSession, sf_dir: str, source: str, name: str, build: Call
     With by it is laid out in a folder for each value of that column.
     """
     key = (spark.sparkContext.applicationId, sf_dir, source, name, _state(spark, f"{sf_dir}/{source}.parquet"))
-    if key not in _KNOWN:
+    known = _KNOWN.get(key)
+    files, where = _files(spark, known) if known else (None, None)
+    if not known or not files.exists(where):
         made = build()
         path = f"{shared_folder(spark)}/index-{name}-{uuid.uuid4().hex}"
         made.write.parquet(path, partitionBy=by)

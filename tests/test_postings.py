@@ -5,6 +5,7 @@ import random
 import pytest
 
 from fathom.operators import lexical, postings
+from fathom.sources import store
 from fathom.sources.store import stored, written
 
 
@@ -49,7 +50,7 @@ def test_empty_corpus(spark):
     assert postings.Search(index(none, 8), lexical.query_terms(q), 5).results().collect() == []
 
 
-def test_a_stored_table_follows_its_source(spark, tmp_path):
+def test_a_stored_table_follows_its_source(spark, tmp_path, monkeypatch):
     made = []
 
     def build():
@@ -60,3 +61,5 @@ def test_a_stored_table_follows_its_source(spark, tmp_path):
     assert [stored(spark, str(tmp_path), "t", "sums", build).first().s for _ in range(2)] == [3, 3] and len(made) == 1
     spark.range(5).write.mode("overwrite").parquet(f"{tmp_path}/t.parquet")
     assert stored(spark, str(tmp_path), "t", "sums", build).first().s == 10 and len(made) == 2
+    monkeypatch.setattr(store, "_KNOWN", {k: f"{tmp_path}/gone" for k in store._KNOWN})
+    assert stored(spark, str(tmp_path), "t", "sums", build).first().s == 10 and len(made) == 3
