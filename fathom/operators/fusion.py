@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fathom.config import RetrievalConfig
 from fathom.functions.text import let, tokens
+from fathom.sources.store import written
 
 CHANNELS = ("vec", "bm25", "graph", "gear")
 
@@ -83,8 +84,10 @@ def rerank(ranked: DataFrame, scorer: Column | None = None) -> DataFrame:
 
 
 def with_text(ranked: DataFrame, docs: DataFrame) -> DataFrame:
-    """Texts join last, for ranked chunks only; a missing chunk keeps an empty text."""
-    return ranked.join(docs.select(F.col("doc_id").alias("chunk_id"), "text", "source"), "chunk_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    """Texts join last, for ranked chunks only, which cut the documents before they travel; a missing chunk keeps an empty text."""
+    ranked = written(ranked)
+    texts = docs.select(F.col("doc_id").alias("chunk_id"), "text", "source").join(ranked.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    return ranked.join(texts, "chunk_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def provenance() -> Column:
