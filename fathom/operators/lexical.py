@@ -14,7 +14,7 @@ from fathom.config import RetrievalConfig
 from fathom.functions.text import tokens
 from fathom.sources.store import written
 
-#: Ids of a tile, a whole part of a bitmap's 32768; queries of a block and those that are scored at once; words that are broadcast at most.
+#: Ids of a tile, a whole part of a bitmap's 32768; queries of a block; queries, and terms, that are scored at once; words that are broadcast at most.
 TILE, BLOCK, AT_ONCE, MOST_WORDS = 4096, 8192, 256, 500_000
 
 
@@ -90,15 +90,21 @@ def _best(k: int, avgdl: float, cfg: RetrievalConfig) -> Callable:
         parts = held.assign(part=tf * (cfg.k1 + 1.0) / (tf + cfg.k1 * (1.0 - cfg.b + cfg.b * dl / avgdl))).groupby(["term", "doc_id"], as_index=False)["part"].sum()
         places = held.drop_duplicates("doc_id").sort_values("doc_id")
         ids = places["doc_id"].to_numpy()
-        at, part, terms = np.searchsorted(ids, parts["doc_id"]), parts["part"].to_numpy(), parts["term"].to_numpy()
-        allowed, named = allows(asked, places), asked[asked["idf"].notna()]
+        terms, of = np.unique(parts["term"], return_inverse=True)
+        at, part = np.searchsorted(ids, parts["doc_id"]), parts["part"].to_numpy()
+        allowed, named = allows(asked, places), asked[asked["idf"].notna() & asked["term"].isin(terms)]
         queries = named["query_id"].unique()
         for low in range(0, len(queries) if len(ids) else 0, AT_ONCE):
             now = queries[low : low + AT_ONCE]
+            mine = named[named["query_id"].isin(now)]
+            column, asking, idf = np.searchsorted(terms, mine["term"]), pd.Index(now).get_indexer(mine["query_id"]), mine["idf"].to_numpy()
             scores = np.zeros((len(now), len(ids)))
-            for term, rows in named[named["query_id"].isin(now)].groupby("term"):
-                a, b = np.searchsorted(terms, [term, term + 1])
-                scores[np.ix_(pd.Index(now).get_indexer(rows["query_id"]), at[a:b])] += np.outer(rows["idf"], part[a:b])
+            for first in range(0, len(terms), AT_ONCE):
+                here, there = (of >= first) & (of < first + AT_ONCE), (column >= first) & (column < first + AT_ONCE)
+                weights, held_parts = np.zeros((len(now), AT_ONCE)), np.zeros((AT_ONCE, len(ids)))
+                weights[asking[there], column[there] - first] = idf[there]
+                held_parts[of[here] - first, at[here]] = part[here]
+                scores += weights @ held_parts
             for query, score in zip(now, scores, strict=True):
                 met = np.nonzero((score > 0) & allowed[query] if query in allowed else score > 0)[0]
                 found = np.round(score[met], 6)
