@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,26 +66,79 @@ def row_groups(rows: DataFrame, group: str, order: str, size: int) -> DataFrame:
 def sized_row_groups(rows: DataFrame, group: str, order: str, length: Column, per_chunk: int, least: int = 5120) -> DataFrame:
     """Adds chunk: runs of rows that end with the row by which they are as long as max(least, mean length * per_chunk).
 
-    Where a run that began at a row would end is found for all rows at once from running sums. Which rows begin a run
-    follows by doubling: the rows reached in so many steps lead to those reached in twice as many. The order has no
-    ties; null lengths count as 0.
+    Rows lie in ranges. A run that is open at a range's begin ends within the range at one of its first rows, a run's
+    length of them at most; for each of these a range tells in one pass how many runs follow and where its last run
+    began. One task then goes from range to range through these few rows, and each range numbers its own rows. The
+    order has no ties; null lengths count as 0.
     """
     sized = rows.withColumn("_len", F.coalesce(length, F.lit(0)).cast("long"))
     mean = sized.groupBy(group).agg(F.greatest(F.lit(float(least)), F.avg("_len") * per_chunk).alias("_size"))
-    summed = ordered.running(sized.join(mean, group), group, order, {"_rn": F.lit(1), "_upto": F.col("_len")})
+    ranged = ordered.laid(sized.join(mean, group), [group, order])
+    before = W.partitionBy(group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    begins = ranged.groupBy(group, "_range").agg(F.sum("_len").alias("_sum")).select(group, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_begin"))
+    within = W.partitionBy(group, "_range").orderBy(order)
+    summed = ranged.join(begins, [group, "_range"]).withColumn("_upto", F.col("_begin") + F.sum("_len").over(within)).withColumn("_pos", F.row_number().over(within).cast("long"))
     summed = written(summed)
-    ends = summed.select(group, F.col("_upto").cast("double").alias("value"), F.col("_rn").alias("mark"), F.lit(None).cast("long").alias("row"))
-    asks = summed.select(group, (F.col("_upto") - F.col("_len") + F.col("_size")).alias("value"), F.lit(None).cast("long").alias("mark"), F.col("_rn").alias("row"))
-    found = ordered.first_from(ends.unionByName(asks), group, "value", "mark").where("row is not null and first is not null")
-    hop = written(found.select(group, "row", (F.col("first") + 1).alias("next")))
-    reached = summed.where("_rn = 1").select(group, F.col("_rn").alias("row"))
-    while not hop.isEmpty():
-        reached = written(reached.unionByName(reached.join(hop, [group, "row"]).select(group, F.col("next").alias("row"))))
-        further = hop.select(group, F.col("row").alias("next"), F.col("next").alias("after"))
-        hop = written(hop.join(further, [group, "next"]).select(group, "row", F.col("after").alias("next")))
-    starts = summed.join(reached.select(group, F.col("row").alias("_rn"), F.lit(1).alias("_start")), [group, "_rn"], "left")
-    numbered = ordered.running(starts, group, order, {"chunk": F.coalesce("_start", F.lit(0))})
-    return numbered.withColumn("chunk", (F.col("chunk") - 1).cast("long")).select(*rows.columns, "chunk")
+    kind = summed.schema[group].dataType.simpleString()
+    passes = written(summed.groupBy(group, "_range").applyInPandas(_passes(group), f"`{group}` {kind}, _range int, upto long, runs long, base long, size double"))
+    opened = written(passes.groupBy(group).applyInPandas(_open_runs(group), f"`{group}` {kind}, _range int, base long, chunk long"))
+    starts = summed.join(opened, [group, "_range"]).groupBy(group, "_range").applyInPandas(_starts(group), f"`{group}` {kind}, _range int, _pos long, _start long")
+    marked = summed.join(opened.select(group, "_range", "chunk"), [group, "_range"]).join(starts, [group, "_range", "_pos"], "left")
+    return marked.withColumn("chunk", F.col("chunk") + F.coalesce(F.sum("_start").over(within), F.lit(0))).select(*rows.columns, "chunk")
+
+
+def _ends(upto: np.ndarray, base: int, size: float) -> int:
+    """The first row by which a run that began after base is full; the number of rows if none is. Of doubles, else each search would convert them all."""
+    return int(upto.searchsorted(float(base) + size))
+
+
+def _passes(group: str) -> Callable:
+    def passes(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_pos")
+        upto, size = rows["_upto"].to_numpy(float), float(rows["_size"].iloc[0])
+        count = min(len(upto), _ends(upto, rows["_begin"].iloc[0], size) + 1)
+        known: dict[int, tuple[int, int]] = {}  # a row that ends a run: runs that end from it on, and where the last one ends
+        for end in range(count):
+            path = []
+            while end < len(upto) and end not in known:
+                path.append(end)
+                end = _ends(upto, upto[end], size)
+            runs, base = known[end] if end < len(upto) else (0, int(upto[path[-1]]) if path else 0)
+            for x in reversed(path):
+                runs += 1
+                known[x] = (runs, base)
+        found = [known[x] for x in range(count)]
+        return pd.DataFrame({group: rows[group].iloc[0], "_range": rows["_range"].iloc[0], "upto": upto[:count].astype(int), "runs": [r for r, _ in found], "base": [b for _, b in found], "size": size})
+
+    return passes
+
+
+def _open_runs(group: str) -> Callable:
+    def opened(rows: pd.DataFrame) -> pd.DataFrame:
+        out, base, chunk = [], 0, 0
+        for at, own in rows.sort_values(["_range", "upto"], kind="stable").groupby("_range", sort=True):
+            out.append((at, base, chunk))
+            end = _ends(own["upto"].to_numpy(float), base, own["size"].iloc[0])
+            if end < len(own):
+                base, chunk = int(own["base"].iloc[end]), chunk + int(own["runs"].iloc[end])
+        found = pd.DataFrame(out, columns=["_range", "base", "chunk"])
+        found.insert(0, group, rows[group].iloc[0])
+        return found
+
+    return opened
+
+
+def _starts(group: str) -> Callable:
+    def starts(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_pos")
+        upto, size, at = rows["_upto"].to_numpy(float), float(rows["_size"].iloc[0]), []
+        end = _ends(upto, rows["base"].iloc[0], size)
+        while end < len(upto) - 1:
+            at.append(end + 2)  # positions count from one, and a run begins behind the row that ends the last one
+            end = _ends(upto, upto[end], size)
+        return pd.DataFrame({group: rows[group].iloc[0], "_range": rows["_range"].iloc[0], "_pos": np.array(at, int), "_start": 1})
+
+    return starts
 
 
 def gap_sessions(events: DataFrame, gap_seconds: int) -> DataFrame:
