@@ -1,8 +1,8 @@
 """A trained vector index: k-means cells, product codes of residuals, a table laid out by cell, exact re-ranking.
 
 Cells and codebooks are fitted to a bounded sample; every vector is indexed. A search looks into the nearest cells of
-each query, which an equi-join on the table's partition column finds, scores their codes from a small table of inner
-products for each query, and computes exact products for a short list only.
+each query: tiles of cells meet blocks of queries, the vectors that the codes stand for are scored first, and exact
+products are computed for a tile's short list only.
 
 A vector lies in its COPIES nearest cells, so that a query need not look into all cells around it.
 
@@ -12,15 +12,15 @@ sample, are not indexed. Repeated rows are indexed each.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.functions import vectors as V
 from fathom.operators.lexical import top
 
 #: Vectors that cells and codebooks are fitted to, at most; rounds of their fit; and cells, at most.
@@ -31,6 +31,8 @@ PARTS, ENTRIES = 16, 16
 COPIES, CELLS = 3, 4
 #: The share of the cells that a query looks into, and the length of the list that is scored exactly, in results.
 SHARE, SHORT_LIST = 0.2, 20
+#: Rows of a tile and queries of a block on average, and rows or queries that are compared at once.
+TILE, BLOCK, AT_ONCE = 16_384, 8192, 128
 
 
 @dataclass(frozen=True)
@@ -61,7 +63,8 @@ def usable(rows: DataFrame) -> DataFrame:
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return (-2 * x @ centres.T + (centres**2).sum(1)).argmin(1)
+    squares = (centres**2).sum(1)
+    return np.concatenate([np.zeros(0, int), *((-2 * x[i : i + AT_ONCE] @ centres.T + squares).argmin(1) for i in range(0, len(x), AT_ONCE))])
 
 
 def _fit(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -110,7 +113,8 @@ def place(rows: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         for batch in batches:
             x = np.stack(batch["embedding"].to_numpy()).astype(float) if len(batch) else np.zeros((0, m.cells.shape[1]))
-            near = (-2 * x @ m.cells.T + (m.cells**2).sum(1)).argsort(1, kind="stable")[:, :COPIES]
+            squares = (m.cells**2).sum(1)
+            near = np.concatenate([np.zeros((0, min(COPIES, len(squares))), int), *((-2 * x[i : i + AT_ONCE] @ m.cells.T + squares).argsort(1, kind="stable")[:, :COPIES] for i in range(0, len(x), AT_ONCE))])
             for cell in near.T:
                 codes = np.stack([_nearest(p, book) for p, book in zip(_parts(x - m.cells[cell], m), m.books, strict=True)], 1).astype(np.int8)
                 yield batch.assign(code=list(codes), cell=cell.astype(np.int32))
@@ -122,8 +126,8 @@ def place(rows: DataFrame, model: Model) -> DataFrame:
     return placed.repartitionByRange("cell", "row")
 
 
-def probes(queries: DataFrame, model: Model, count: int) -> DataFrame:
-    """(query_id, q, cell, base, products): the nearest cells of each query, and its inner products with centres and entries."""
+def _looking(queries: DataFrame, model: Model, count: int, form: Callable, schema: str) -> DataFrame:
+    """What form(query_id, q, cells) makes of each usable query and its nearest cells."""
     shared = queries.sparkSession.sparkContext.broadcast(model)
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,23 +135,81 @@ def probes(queries: DataFrame, model: Model, count: int) -> DataFrame:
         for batch in batches:
             for query_id, q in zip(batch["query_id"], batch["q"], strict=True):
                 q = np.asarray(q, float)
-                near = ((m.cells - q) ** 2).sum(1).argsort(kind="stable")[:count]
-                products = np.concatenate([book @ p[0] for p, book in zip(_parts(q[None], m), m.books, strict=True)])
-                yield pd.DataFrame({"query_id": query_id, "q": [q] * len(near), "cell": near.astype(np.int32), "base": m.cells[near] @ q, "products": [products] * len(near)})
+                yield form(query_id, q, ((m.cells - q) ** 2).sum(1).argsort(kind="stable")[:count].astype(np.int32))
 
     able = usable(queries).select("query_id", F.col("embedding").cast("array<double>").alias("q"))
     dim = model.cells.shape[1] if len(model.cells) else -1
-    return able.where(F.size("q") == dim).mapInPandas(look, "query_id long, q array<double>, cell int, base double, products array<double>")
+    return able.where(F.size("q") == dim).mapInPandas(look, schema)
+
+
+def probes(queries: DataFrame, model: Model, count: int) -> DataFrame:
+    """(query_id, q, cell): the nearest cells of each query."""
+    return _looking(queries, model, count, lambda query_id, q, near: pd.DataFrame({"query_id": query_id, "q": [q] * len(near), "cell": near}), "query_id long, q array<double>, cell int")
+
+
+def _dealt(indexed: DataFrame) -> dict[int, tuple[int, int]]:
+    """The first tile of each cell and how many it takes: small cells share a tile, large ones take several; MOST_CELLS bounds it."""
+    dealt, tile, held = {}, 0, 0
+    for cell, n in sorted((r["cell"], r["count"]) for r in indexed.groupBy("cell").count().collect()):
+        if held and held + n > TILE:
+            tile, held = tile + 1, 0
+        parts = -(-n // TILE)
+        dealt[cell] = (tile, parts)
+        tile, held = (tile + parts, 0) if parts > 1 else (tile, held + n)
+    return dealt
+
+
+def _by_tile(dealt: dict[int, tuple[int, int]]) -> Callable:
+    def form(query_id: int, q: np.ndarray, near: np.ndarray) -> pd.DataFrame:
+        met: dict[int, list[int]] = {}
+        for cell in near.tolist():
+            first, parts = dealt.get(cell, (0, 0))
+            for tile in range(first, first + parts):
+                met.setdefault(tile, []).append(cell)
+        return pd.DataFrame({"query_id": query_id, "q": [q] * len(met), "tile": list(met), "cells": list(met.values())})
+
+    return form
+
+
+def _best(k: int, shared: Broadcast) -> Callable:
+    length = k * SHORT_LIST * COPIES
+
+    def best(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        m, out = shared.value, [(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+        if len(held) and len(asked):
+            x, codes, cell = np.stack(held["embedding"].to_numpy()), np.stack(held["code"].to_numpy()), held["cell"].to_numpy()
+            row, ids = held["row"].to_numpy(), held["vec_id"].to_numpy()
+            rest = [book[code][:, : len(own)] for book, code, own in zip(m.books, codes.T, np.array_split(np.arange(x.shape[1]), len(m.books)), strict=True)]
+            near = (m.cells[cell] + np.concatenate(rest, axis=1)).T
+            cells, at = np.unique(cell, return_inverse=True)
+            for low in range(0, len(asked), AT_ONCE):
+                now = asked.iloc[low : low + AT_ONCE]
+                q = np.stack(now["q"].to_numpy())
+                looked = np.stack([np.isin(cells, own) for own in now["cells"]])
+                for query_id, one, score, seen in zip(now["query_id"], q, q @ near, looked[:, at], strict=True):
+                    short = np.nonzero(seen)[0]
+                    if len(short) > length:
+                        short = short[np.argpartition(-score[short], length)[:length]]
+                    short = short[np.unique(row[short], return_index=True)[1]]
+                    exact = np.round(x[short] @ one, 6)
+                    first = np.lexsort((ids[short], -exact))[:k]
+                    out.append((np.full(len(first), query_id), row[short][first], ids[short][first], exact[first]))
+        return pd.DataFrame(dict(zip(("query_id", "row", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    return best
 
 
 def search(indexed: DataFrame, queries: DataFrame, k: int, model: Model, share: float = SHARE) -> DataFrame:
-    """(query_id, vec_id, score, rank): the k best by inner product among a short list from at most a share of the cells."""
-    asked = probes(queries, model, max(1, int(len(model.cells) * share)))
-    coded = indexed.select("row", "vec_id", "code", "cell").join(asked.select("query_id", "cell", "base", "products"), "cell")
-    places = F.sequence(F.lit(0), F.size("code") - 1)
-    about = F.aggregate(places, F.col("base"), lambda total, p: total + F.get("products", p * ENTRIES + F.get("code", p)))
-    listed = top(coded.select("query_id", "cell", "row", "vec_id", about.alias("score")), k * SHORT_LIST * COPIES, "vec_id")
-    once = listed.groupBy("query_id", "row").agg(F.min("cell").alias("cell"))
-    texts = queries.select("query_id", F.col("embedding").cast("array<double>").alias("q"))
-    exact = indexed.select("cell", "row", "vec_id", "embedding").join(once, ["cell", "row"]).join(texts, "query_id")
-    return top(exact.select("query_id", "vec_id", F.round(V.dot(F.col("embedding"), F.col("q")), 6).alias("score")), k, "vec_id")
+    """(query_id, vec_id, score, rank): the k best by inner product among short lists from at most a share of the cells.
+
+    A tile's short list is as long as one of all cells would be, and the tile hands on k rows of it for a query.
+    """
+    spark, dealt = queries.sparkSession, _dealt(indexed)
+    blocks = max(1, -(-queries.count() // BLOCK))
+    tiles = spark.createDataFrame([(cell, first, parts) for cell, (first, parts) in dealt.items()], "cell int, first long, parts long")
+    held = indexed.join(F.broadcast(tiles), "cell").select((F.col("first") + F.pmod("row", "parts")).alias("tile"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "row", "vec_id", "cell", "code", "embedding")
+    asked = _looking(queries, model, max(1, int(len(model.cells) * share)), _by_tile(dealt), "query_id long, q array<double>, tile long, cells array<int>").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    pairs = held.groupBy("tile", "block").cogroup(asked.groupBy("tile", "block"))
+    found = pairs.applyInPandas(_best(k, spark.sparkContext.broadcast(model)), "query_id long, row long, vec_id long, score double")
+    # A row of several cells may come from several tiles.
+    return top(found.groupBy("query_id", "row", "vec_id").agg(F.max("score").alias("score")).drop("row"), k, "vec_id")

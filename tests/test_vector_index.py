@@ -51,3 +51,20 @@ def test_edge_cases(spark):
     assert vector_index.search(vector_index.place(df, none), queries, 10, none).collect() == []
     again = vector_index.Model.of_frame(model.to_frame(spark))
     assert (again.cells == model.cells).all() and (again.books == model.books).all()
+
+
+def test_large_cells_are_dealt_to_tiles_that_hand_on_k_rows(spark, monkeypatch):
+    monkeypatch.setattr(vector_index, "TILE", 50)
+    monkeypatch.setattr(vector_index, "BLOCK", 3)
+    monkeypatch.setattr(vector_index, "AT_ONCE", 4)
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=7).tolist()) for i in range(200)] + [(1000 + i, [3.0] * 7) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    model = vector_index.fit(df, 8)
+    indexed = vector_index.place(df, model).cache()
+    dealt = vector_index._dealt(indexed)
+    assert max(parts for _, parts in dealt.values()) > 1 and max(first + parts for first, parts in dealt.values()) >= indexed.count() / 50
+    queries = df.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    rows_of = lambda frame: {(r.query_id, r["rank"], r.vec_id, r.score) for r in frame.collect()}
+    # Every cell is looked into, so what is found is what a scan finds.
+    assert rows_of(vector_index.search(indexed, queries, 10, model, 1.0)) == rows_of(vector.search(df, queries, 10))
