@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Ids of a slot, a whole part of a bitmap's 32768.
+SLOT = 4096
+
 
 def bitmaps(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(name, value, bucket, bits): the ids that have a value in a column; values are compared in lower case.
@@ -26,6 +29,23 @@ def allowed(queries: DataFrame, index: DataFrame) -> DataFrame:
     return met.where((F.col("met") == F.col("count")) & (F.bitmap_count("bits") > 0)).select("query_id", "bucket", "bits")
 
 
+def slot(key: Column) -> Column:
+    """The number of an id's slot."""
+    return F.bitmap_bucket_number(key) * (32768 // SLOT) + F.floor(F.bitmap_bit_position(key) / SLOT)
+
+
+def place(key: Column) -> Column:
+    """An id's bit within its slot."""
+    return F.bitmap_bit_position(key) % SLOT
+
+
+def cut(allow: DataFrame) -> DataFrame:
+    """(query_id, slot, bits): bitmaps of ids by slot, where they have a bit."""
+    each = allow.select("query_id", "bucket", "bits", F.explode(F.sequence(F.lit(0), F.lit(32768 // SLOT - 1))).alias("p"))
+    bits = F.substring(F.col("bits"), F.col("p") * (SLOT // 8) + 1, F.lit(SLOT // 8))
+    return each.select("query_id", (F.col("bucket") * (32768 // SLOT) + F.col("p")).alias("slot"), bits.alias("bits")).where(F.bitmap_count("bits") > 0)
+
+
 def has(bits: str, position: Column) -> Column:
     """Whether a bitmap has a position's bit."""
     byte = F.conv(F.hex(F.substring(F.col(bits), (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")

@@ -39,6 +39,39 @@ def test_search_in_blocks(spark, monkeypatch, metric):
     assert {(r.query_id, r["rank"], r.vec_id): r.score for r in got} == pytest.approx({(i, r, j): s for i, j, s, r in want}, abs=1e-6)
 
 
+@pytest.mark.parametrize("metric", ["dot", "cosine", "l2"])
+def test_filtered_search_in_blocks(spark, monkeypatch, metric):
+    for name, size in (("BLOCK", 3), ("TILE", 40), ("AT_ONCE", 2)):
+        monkeypatch.setattr(vector, name, size)
+    rng = np.random.default_rng(3)
+    rows = [(i * 1777 - 9000, rng.normal(size=5).round(2).tolist(), i % 3) for i in range(200)] + [(7, [1.0] * 5, 1)] * 90 + [(70, None, 1), (71, [None] * 5, 1), (72, [0.0] * 5, 1), (73, [1.0] * 4, 1), (74, [2.0] * 5, None), (None, [9.0] * 5, 1)]
+    queries = [(i, rng.normal(size=5).round(2).tolist(), i % 4) for i in range(9)] + [(20, None, 1), (21, [0.0] * 5, 1), (22, [2.0] * 4, 1)]
+    rows_df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    asked = spark.createDataFrame([(i, q, {"label": str(g)}) for i, q, g in queries], "query_id long, embedding array<double>, filters map<string,string>")
+    found = vector.search_allowed(rows_df, asked, filters.allowed(asked, filters.bitmaps(rows_df, "vec_id", ["label"])), 100, metric)
+    # One id has many rows, yet no tile meets a query's whole list of them: what a pair hands on is bounded.
+    assert "FlatMapCoGroupsInPandas" in found._jdf.queryExecution().optimizedPlan().toString()
+
+    def score(x, q):
+        dot = sum(a * b for a, b in zip(x, q))
+        n = math.hypot(*x) * math.hypot(*q)
+        return dot if metric == "dot" else -math.dist(x, q) if metric == "l2" else dot / n if n else None
+
+    want = {}
+    for i, q, g in queries:
+        scored = [(score(x, q), j) for j, x, label in rows if j is not None and label == g and x and q and len(x) == len(q) and None not in x]
+        ranked = sorted(((round(s, 6), j) for s, j in scored if s is not None), key=lambda f: (-f[0], f[1]))[:100]
+        want |= {(i, r + 1, j): s for r, (s, j) in enumerate(ranked)}
+    assert {(r.query_id, r["rank"], r.vec_id): r.score for r in found.collect()} == pytest.approx(want, abs=1e-6)
+
+
+def test_filtered_search_places_nan_first_as_sql(spark):
+    rows = spark.createDataFrame([(1, [1.0], 1), (2, [float("nan")], 1), (3, [float("inf")], 1)], "vec_id long, embedding array<double>, label int")
+    asked = spark.createDataFrame([(1, [1.0], {"label": "1"})], "query_id long, embedding array<double>, filters map<string,string>")
+    found = vector.search_allowed(rows, asked, filters.allowed(asked, filters.bitmaps(rows, "vec_id", ["label"])), 2)
+    assert [r.vec_id for r in found.orderBy("rank").collect()] == [2, 3]
+
+
 def test_filters_equal_plain_sets(spark):
     rng = random.Random(2)
     docs = [(i * 7919 - 50_000, rng.choice(["en", "DE", None]), rng.choice(["a", "b", "c"])) for i in range(400)] + [(None, "en", "a"), (0, "fr", "a"), (1, "fr", "a"), (-1, "fr", "a")]
