@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,7 +110,7 @@ class _InOrder(StatefulProcessor):
     """Holds the events of a user until the watermark has passed them, then handles them in order of time and id.
 
     Out-of-order events within the watermark's delay so give what ordered ones give. The state of a user is the events
-    that are still open, in a list, and what a subclass keeps; one timer is set at a time.
+    that are still open, in a list of blocks of whole numbers, and what a subclass keeps; one timer is set at a time.
     """
 
     #: Microseconds after an event at which nothing that comes can change what it is part of.
@@ -116,12 +118,12 @@ class _InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "at long, event_id long")
+        self.open = handle.getListState("open", "events binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = [(int(at), int(e)) for batch in rows for at, e in zip(batch["at"], batch["event_id"], strict=True)]
-        self.open.appendList(held)
-        self._wake(min(held)[0])
+        held = np.concatenate([np.stack([batch["at"].to_numpy(np.int64), batch["event_id"].to_numpy(np.int64)], 1) for batch in rows])
+        self.open.appendValue((held.tobytes(),))
+        self._wake(int(held[:, 0].min()))
         return iter([])
 
     def _wake(self, at: int) -> None:
@@ -135,19 +137,20 @@ class _InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted((r[0], r[1]) for r in self.open.get())
-        done, left = self.split(key, rows, passed)
+        held = np.frombuffer(b"".join(bytes(r[0]) for r in self.open.get()), np.int64).reshape(-1, 2)
+        held = held[np.lexsort((held[:, 1], held[:, 0]))]
+        done, count = self.split(key, held[:, 0].tolist(), held[:, 1].tolist(), passed)
         self.open.clear()
-        if left:
-            self.open.appendList(left)
+        if count < len(held):
+            self.open.appendValue((held[count:].tobytes(),))
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
-            self._wake(left[0][0])
+            self._wake(int(held[count, 0]))
         if len(done):
             yield done
 
-    def split(self, key, rows: list[tuple[int, int]], passed: int) -> tuple[pd.DataFrame, list[tuple[int, int]]]:
-        """What is final at a watermark, and the events that stay open."""
+    def split(self, key, times: list[int], ids: list[int], passed: int) -> tuple[pd.DataFrame, int]:
+        """What is final at a watermark, and how many of the events that is; the others stay open."""
         raise NotImplementedError
 
     def close(self) -> None:
@@ -162,19 +165,20 @@ class _Quota(_InOrder):
         super().init(handle)
         self.window = handle.getValueState("window", "anchor long, used long")
 
-    def split(self, key, rows, passed):
+    def split(self, key, times, ids, passed):
         anchor, used = tuple(self.window.get()) if self.window.exists() else (None, 0)
-        out = []
-        for at, event_id in rows:
+        counts = []
+        for at in times:
             if at > passed:
                 break
             if anchor is None or at >= anchor + self.span:
                 anchor, used = at, 0
             used += 1
-            out.append((event_id, key[0], used, used <= self.limit))
-        if out:
+            counts.append(used)
+        if counts:
             self.window.update((anchor, used))
-        return pd.DataFrame(out, columns=["event_id", "user_id", "used", "allowed"]), rows[len(out) :]
+        found = np.array(counts, np.int64)
+        return pd.DataFrame({"event_id": ids[: len(counts)], "user_id": key[0], "used": found, "allowed": found <= self.limit}), len(counts)
 
 
 class _Batches(_InOrder):
@@ -185,15 +189,16 @@ class _Batches(_InOrder):
         super().init(handle)
         self.number = handle.getValueState("number", "number long")
 
-    def split(self, key, rows, passed):
-        number, out = self.number.get()[0] if self.number.exists() else 0, []
-        while rows and rows[0][0] + self.settled <= passed:
-            size = sum(at < rows[0][0] + self.settled for at, _ in rows)
-            out.append((key[0], number, size, [e for _, e in rows[:size]]))
-            number, rows = number + 1, rows[size:]
-        if out:
-            self.number.update((number,))
-        return pd.DataFrame(out, columns=["user_id", "number", "n", "events"]), rows
+    def split(self, key, times, ids, passed):
+        number, first, sizes, events = self.number.get()[0] if self.number.exists() else 0, 0, [], []
+        while first < len(times) and times[first] + self.settled <= passed:
+            end = bisect_left(times, times[first] + self.settled, first)
+            sizes.append(end - first)
+            events.append(ids[first:end])
+            first = end
+        if sizes:
+            self.number.update((number + len(sizes),))
+        return pd.DataFrame({"user_id": key[0], "number": range(number, number + len(sizes)), "n": sizes, "events": events}), first
 
 
 def _per_user(events: DataFrame, processor: StatefulProcessor, result: str) -> DataFrame:

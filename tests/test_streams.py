@@ -73,3 +73,31 @@ def test_a_stream_restarted_without_its_last_commit(spark, tmp_path):
     want = run()
     shutil.rmtree(f"{tmp_path}/state/commits")  # as if the driver was lost before it noted the batch as done
     assert run() == want == [(1, 1, "a"), (2, 1, "b")]
+
+
+class _Kept:
+    """A state value that holds what it is given."""
+
+    held = None
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+
+def test_batches_of_a_busy_user_take_linear_time():
+    import time
+
+    processor, n = streams._Batches(10), 200_000
+    processor.number = _Kept()
+    times, began = [i * 6_000_000 for i in range(n)], time.process_time()
+    found, count = processor.split((7,), times, list(range(n)), times[-1])
+    # Two events a batch; the batch of the last two may still change.
+    assert count == n - 2 and processor.number.get() == (n // 2 - 1,)
+    assert found["events"].iloc[-1] == [n - 4, n - 3] and set(found["n"]) == {2} and list(found["number"]) == list(range(n // 2 - 1))
+    assert time.process_time() - began < 20
