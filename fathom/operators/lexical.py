@@ -87,11 +87,13 @@ def _best(k: int, avgdl: float, cfg: RetrievalConfig) -> Callable:
     def best(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": np.zeros(0, int), "doc_id": np.zeros(0, int), "score": np.zeros(0)})]
         tf, dl = held["tf"].to_numpy(float), held["dl"].to_numpy(float)
-        parts = held.assign(part=tf * (cfg.k1 + 1.0) / (tf + cfg.k1 * (1.0 - cfg.b + cfg.b * dl / avgdl))).groupby(["term", "doc_id"], as_index=False)["part"].sum()
+        part = tf * (cfg.k1 + 1.0) / (tf + cfg.k1 * (1.0 - cfg.b + cfg.b * dl / avgdl))
         places = held.drop_duplicates("doc_id").sort_values("doc_id")
         ids = places["doc_id"].to_numpy()
-        terms, of = np.unique(parts["term"], return_inverse=True)
-        at, part = np.searchsorted(ids, parts["doc_id"]), parts["part"].to_numpy()
+        # In the order of terms, so that terms which are scored at once are a slice.
+        order = np.argsort(held["term"].to_numpy(), kind="stable")
+        terms, of = np.unique(held["term"].to_numpy()[order], return_inverse=True)
+        at, part = np.searchsorted(ids, held["doc_id"].to_numpy()[order]), part[order]
         allowed, named = allows(asked, places), asked[asked["idf"].notna() & asked["term"].isin(terms)]
         queries = named["query_id"].unique()
         for low in range(0, len(queries) if len(ids) else 0, AT_ONCE):
@@ -100,10 +102,11 @@ def _best(k: int, avgdl: float, cfg: RetrievalConfig) -> Callable:
             column, asking, idf = np.searchsorted(terms, mine["term"]), pd.Index(now).get_indexer(mine["query_id"]), mine["idf"].to_numpy()
             scores = np.zeros((len(now), len(ids)))
             for first in range(0, len(terms), AT_ONCE):
-                here, there = (of >= first) & (of < first + AT_ONCE), (column >= first) & (column < first + AT_ONCE)
-                weights, held_parts = np.zeros((len(now), AT_ONCE)), np.zeros((AT_ONCE, len(ids)))
+                here, there = slice(*np.searchsorted(of, (first, first + AT_ONCE))), (column >= first) & (column < first + AT_ONCE)
+                weights = np.zeros((len(now), AT_ONCE))
                 weights[asking[there], column[there] - first] = idf[there]
-                held_parts[of[here] - first, at[here]] = part[here]
+                # Rows of one document and term add up.
+                held_parts = np.bincount((of[here] - first) * len(ids) + at[here], part[here], AT_ONCE * len(ids)).reshape(AT_ONCE, len(ids))
                 scores += weights @ held_parts
             for query, score in zip(now, scores, strict=True):
                 met = np.nonzero((score > 0) & allowed[query] if query in allowed else score > 0)[0]
@@ -139,7 +142,8 @@ def search(docs: DataFrame, terms: DataFrame, k: int, cfg: RetrievalConfig = Ret
     tile, block = F.pmod(F.col("slot"), F.lit(tiles)).alias("tile"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")
     slots, position = 32768 // TILE, F.bitmap_bit_position("doc_id")
     placed = counted.select("doc_id", "dl", "term", "tf", (F.bitmap_bucket_number("doc_id") * slots + F.floor(position / TILE)).alias("slot"), (position % TILE).alias("place"))
-    held = placed.select(tile, upto(blocks).alias("block"), "*")
+    # Where no filter needs them, slots and places stay at home.
+    held = placed.select(tile, upto(blocks).alias("block"), "doc_id", "dl", "term", "tf", *(("slot", "place") if allow is not None else ()))
     own = asked.join(bound.select("query_id", F.lit(True).alias("_b")), "query_id", "left") if bound is not None else asked.withColumn("_b", F.lit(False))
     sides = own.select(upto(tiles).alias("tile"), block, "query_id", "term", "idf", F.coalesce("_b", F.lit(False)).alias("bound"), F.lit(None).cast("long").alias("slot"), F.lit(None).cast("binary").alias("bits"))
     if allow is not None:

@@ -47,3 +47,10 @@ def test_rows_written_do_not_grow_with_the_queries(spark):
     count = lambda q: lexical.hits(docs, lexical.query_terms(q).select("token").distinct().select(F.col("token").alias("word"), F.monotonically_increasing_id().alias("term"))).count()
     few, many = (spark.range(n).select(F.col("id").alias("query_id"), F.lit("w0 w1 w2").alias("text")) for n in (1, 500))
     assert count(few) == count(many)
+
+
+def test_what_no_filter_needs_does_not_travel(spark):
+    docs = spark.createDataFrame([(1, "a b b c"), (2, "b c d"), (2, "b b d d"), (-3, "x")], "doc_id long, text string")
+    found = lexical.search(docs, lexical.query_terms(spark.createDataFrame([(1, "b d"), (2, "x y")], "query_id long, text string")), 5)
+    assert " AS place#" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.query_id, r.doc_id) for r in found.collect()} == {(1, 1), (1, 2), (2, -3)}
