@@ -111,7 +111,9 @@ def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """
     words = passages.select("query_id", "passage", F.split("passage", " ", -1).alias("w"))
     terms = words.where("size(w) > 2").select("query_id", F.explode(F.array_distinct(F.slice("w", F.lit(2), F.size("w") - 2))).alias("word"))
-    hits = docs.where("text is not null").select("doc_id", F.explode(F.array_distinct(F.split("text", " ", -1))).alias("word")).join(terms.select("word").distinct(), "word", "left_semi")
+    every = docs.where("text is not null").select("doc_id", F.explode(F.array_distinct(F.split("text", " ", -1))).alias("word"))
+    # Written, since it is read twice and texts are cut into words once.
+    hits = written(every.join(terms.select("word").distinct(), "word", "left_semi"))
     rarest = terms.join(hits.groupBy("word").agg(F.count("*").alias("n")), "word").groupBy("query_id").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
     candidates = hits.join(rarest, "word").select("query_id", "doc_id").join(docs.select("doc_id", "text"), "doc_id").join(words.select("query_id", "passage"), "query_id")
     short = docs.join(words.where("size(w) <= 2"), F.contains("text", "passage"))

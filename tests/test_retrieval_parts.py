@@ -121,3 +121,12 @@ def test_clusters_of_candidates(spark):
     fused = fused.withColumns({c: F.col("final") for c in ("vec", "bm25", "graph", "gear")})
     best = clusters.rank_clusters(fused, clusters.clusters(chain), 2).orderBy("rank").collect()
     assert [(r.chunk_id, r.members) for r in best] == [(7, 3), (8, 1)]
+
+
+def test_passages_cut_texts_into_words_once(spark):
+    from fathom.operators import fusion
+
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "x b c y"), (3, None), (4, "b")], "doc_id long, text string")
+    found = fusion.containing(docs, spark.createDataFrame([(7, "b c y"), (8, "b"), (9, "b c d")], "query_id long, passage string"))
+    assert "explode(array_distinct(split(text" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.query_id, r.doc_id) for r in found.collect()} == {(7, 2), (8, 1), (8, 2), (8, 4), (9, 1)}
